@@ -7,16 +7,18 @@ A document's set holds the hashes of its distinct 5-word shingles; its sketch is
 2. Two sets that are similar enough share at least ``need`` retained values.  With each sketch ordered by how many
    classes retain a value, rarest first, two such sketches must then share a value among their first size - need + 1.
    Only those go into inverted lists; values that many documents share through a common passage stay out of them.
-3. Inverted lists give pairs, but never all pairs of a list.  In each round a list that holds several components
-   picks hubs outside its largest component and pairs each with the members of other components.  Estimates from the
-   union's sketch drop hopeless pairs, the full sets decide on the rest, links join components, and the next round
-   (with four times the hubs) sees only lists that are still split.  A list is done when the members that were
-   never hubs are of one component; by then each of its pairs was compared or is connected.  No pair is capped away.
-4. Components come from alternating large-star and small-star steps on the links, in written tables.
+   A list is cut by set size into overlapping bands, for sets of very different sizes are never similar.
+3. Inverted lists give pairs, but never all pairs of a list: each list pairs its most central member (the hub) with
+   the others.  Estimates from the union's sketch drop hopeless pairs, full sets decide on the rest, links join components.
+4. In a list that still holds several components, take x and y that are not both linked with the hub h.  The symmetric differences
+   D(x), D(y) to h must overlap if x and y are similar: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So the members
+   go into new, much shorter lists keyed by (h, element of the rarest part of D).  Lists that are short then are compared
+   pair by pair; otherwise step 3 runs on them, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
+5. Components come from alternating large-star and small-star steps on the links, in written tables.
 
 What can be lost: a pair at the limit shares need = 0.6 k of the k smallest values of its union unless a binomial
-with k = 64 and p = 0.85 falls below 39, which has a chance under one in a million.  Sets of at most 0.85 k shingles are compared
-through whole sets, where nothing is lost.
+with k = 64 and p = 0.85 falls below 39, which has a chance under one in a million.  Sets of at most 0.85 k shingles
+are compared through whole sets, where nothing is lost.  Steps 3 and 4 lose nothing else.
 
 Null or empty text: empty set, linked with nothing.  Null ids: kept as rows of their own, with a null component.  Rows that
 repeat an id count as one document: they share a component.  Empty tables give empty results; columns
@@ -25,6 +27,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from glyphmill.llm.scratch import Scratch
 
 SHINGLE, K, JACCARD_PERCENT = 5, 64, 85
 NEED = 0.6
+LEVELS = 6
+PAIRS_A_MEMBER = 40
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -79,7 +84,6 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of edges (u, v): the smallest node reachable."""
     e = scratch.keep("cc", edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -87,64 +91,84 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.keep("cc", moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == sign:
+        # done when every node has one root, and no root has one
+        sides = new.select(F.col("u").alias("x"), F.lit(1).alias("a")).union(new.select(F.col("v").alias("x"), F.lit(None)).distinct())
+        if sides.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e, sign = new, now
+        e = new
+
+
+TAU = (100 - JACCARD_PERCENT) / (100 + JACCARD_PERCENT)  # similar sets differ in at most TAU * (sum of sizes) elements
 
 
 def _prefixes(classes: DataFrame, k: int) -> DataFrame:
-    """(v, rep): for each class the retained values that a similar sketch must share at least one of."""
-    entries = classes.select("rep", F.explode("sketch").alias("v"))
+    """Entries (rep, n, score, v) of the lists of values that similar sketches must share one of; score: how common the
+    values of the whole sketch are."""
+    n, size = F.col("n"), F.size("sketch")
+    need = F.when(n <= int(k * JACCARD_PERCENT / 100), F.ceil(n * JACCARD_PERCENT / 100)).otherwise(F.ceil(size * NEED))
+    entries = classes.select("rep", size.alias("size"), need.alias("need"), "n", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    common = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("c"))  # at most k
-    size = F.size("sketch")
-    need = F.when(F.col("n") <= int(k * JACCARD_PERCENT / 100), F.ceil(F.col("n") * JACCARD_PERCENT / 100)).otherwise(F.ceil(size * NEED))
-    take = size - need + 1 - (size - F.size("c"))  # values that no other class retains come first
-    found = common.join(classes.select("rep", "n", "sketch"), "rep").where(take > 0)
-    return found.select("rep", F.explode(F.slice(F.col("c"), F.lit(1), take.cast("int"))).alias("x")).select("x.v", "rep")
+    common = entries.join(shared, "v").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "v"))).alias("c"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("n").alias("n"), F.sum(F.log("df")).alias("logs")
+    )  # at most k entries a class
+    take = (F.col("size") - F.col("need") + 1 - (F.col("size") - F.size("c"))).cast("int")  # values of one class come first
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / JACCARD_PERCENT))
+    rows = common.where(take > 0).select("rep", "n", (F.col("logs") / F.col("size")).alias("score"), F.explode(F.slice("c", F.lit(1), take)).alias("x"), band.alias("band"))
+    keys = F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))
+    return rows.select("rep", "n", "score", F.explode(keys).alias("v"), F.lit(False).alias("linked"), F.lit(True).alias("short"))
 
 
-def _round_pairs(lists: DataFrame, comp: DataFrame | None, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), hubs (v, rep)) of the lists that still hold several components; lists: v, rep, hub."""
-    rows = lists
+def _with_roots(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
-        rows = rows.withColumn("root", F.col("rep"))
-    else:
-        rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    waiting = rows.where("NOT hub")
-    each = waiting.groupBy("v", "root").agg(F.count("*").alias("size"))
-    split = each.groupBy("v").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = split.select("v", F.col("main.root").alias("main"))
-    outside = waiting.join(split, "v").where("root <> main")
-    if hubs == 1:
-        chosen = outside.groupBy("v").agg(F.min(F.struct("rep", "root")).alias("h")).select("v", "h.*")
-    else:
-        chosen = outside.select("v", "rep", "root", F.expr("row_number() OVER (PARTITION BY v ORDER BY rep)").alias("i")).where(F.col("i") <= hubs).drop("i")
-    h = chosen.select("v", F.col("rep").alias("h"), F.col("root").alias("h_root"))
-    pairs = waiting.join(h, "v").where("root <> h_root").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
-    return pairs, chosen.select("v", "rep")
+        return lists.withColumn("root", F.col("rep"))
+    return lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _split(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The entries of lists that hold several components, with the list's hub: v, rep, n, score, root, hub, hub_root."""
+    rows = _with_roots(lists, comp)
+    heads = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", -F.col("rep"), "rep", "root")).alias("h")).where("lo <> hi")
+    return rows.join(heads.select("v", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "v")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, broadcast_rows: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+def _links(pairs: DataFrame, classes: DataFrame, full: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, as (u, v)."""
     s = classes.select("rep", "sketch")
-    near = pairs.join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    near = pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     near = near.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("i"))
     near = scratch.keep("near", near.where(F.col("i") >= NEED * F.col("u") - 1).select("a", "b"))
-    ids = scratch.keep("ids", near.select(F.col("a").alias("wanted")).union(near.select("b")).distinct())
-    few = ids.count() <= broadcast_rows
-    wanted = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted"), "left_semi")
-    full = scratch.keep("full", wanted.select("id", "text").mapInArrow(_full, "id bigint, full array<bigint>"))
     both = near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
     inter = F.size(F.array_intersect("fa", "fb"))
     both = both.select("a", "b", inter.alias("i"), (F.size("fa") + F.size("fb") - inter).alias("u"))
-    links = scratch.keep("links", both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * JACCARD_PERCENT).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    scratch.drop("near", "ids", "full")
+    links = both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * JACCARD_PERCENT)
+    links = scratch.keep("links", links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    scratch.drop("near")
     return links
 
 
+def _sublists(split: DataFrame, full: DataFrame) -> DataFrame:
+    """New lists (step 4) of the members of split lists, keyed by hub and an element of the difference to it."""
+    m = split.where("rep <> hub").select("hub", "rep", "n", "score").distinct()
+    rows = m.join(full.select(F.col("id").alias("rep"), F.col("full").alias("fx")), "rep").join(full.select(F.col("id").alias("hub"), F.col("full").alias("fh")), "hub")
+    delta = F.concat(F.array_except("fx", "fh"), F.array_except("fh", "fx"))
+    rows = rows.select("hub", "rep", "n", "score", F.size("fh").alias("nh"), delta.alias("d")).withColumn("size", F.size("d"))
+    linked = F.col("size") <= TAU * (F.col("n") + F.col("nh")) + 1e-9
+    # two that are not linked, or x linked and y not: either way x holds at least this much of the overlap
+    half = F.ceil(F.col("size") * (1 - TAU) / 2 - 1e-9)
+    # y not linked, whose partner may be linked, with a smaller difference; the sizes of the two sets are close
+    rest = F.ceil(F.col("size") - TAU * (1 + 100 / JACCARD_PERCENT) * F.col("n") - 1e-9)
+    half, rest = F.greatest(F.lit(1), half), F.greatest(F.lit(1), rest)
+    rows = rows.select("hub", "rep", "n", "score", "size", linked.alias("linked"), half.alias("half"), F.when(linked, half).otherwise(F.least(half, rest)).alias("need"), F.explode("d").alias("e"))
+    shared = rows.groupBy("hub", "e").agg(F.count("*").alias("df")).where("df > 1")
+    common = rows.join(shared, ["hub", "e"]).groupBy("hub", "rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"), *[F.first(x).alias(x) for x in ("n", "score", "size", "half", "need", "linked")]
+    )  # at most the two sets of one pair
+    first = lambda need: (F.col("size") - F.col(need) + 1 - (F.col("size") - F.size("c"))).cast("int")
+    rows = common.where(first("need") > 0).select("hub", "rep", "n", "score", "linked", first("half").alias("h"), F.posexplode(F.slice("c", F.lit(1), first("need"))).alias("i", "x"))
+    return rows.select("rep", "n", "score", F.xxhash64("hub", "x.e").alias("v"), "linked", (F.col("i") < F.col("h")).alias("short"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, broadcast_rows: int = 500_000) -> DataFrame:
     """id, n_shingles, component_id, kept: see the module.  Ids are integers."""
     spark = df.sparkSession
@@ -155,25 +179,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     filled = rows.where("n > 0")
     classes = filled.where("id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.keep("classes", classes)
-    lists = scratch.keep("lists", _prefixes(classes, k).withColumn("hub", F.lit(False)))
-    # ids that stand for several sets, or for several rows, connect those
-    links = filled.where("id IS NOT NULL").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).where("id <> rep").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    same = scratch.keep("same", links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    links = same
-    comp = components(links, scratch) if not same.isEmpty() else None
-    done, hubs = None, 1
-    while True:
-        pairs, chosen = _round_pairs(lists, comp, hubs)
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        pairs, chosen = scratch.keep("pairs", pairs), scratch.keep("chosen", chosen)
-        if chosen.isEmpty():
+    # an id with several texts connects their classes
+    twice = filled.where("id IS NOT NULL").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v")
+    links = scratch.keep("twice", twice.select("u", "v"))
+    comp = None if links.isEmpty() else components(links, scratch)
+    lists = scratch.keep("lists", _prefixes(classes, k))
+    split = scratch.keep("split", _split(lists, comp))
+    if not split.isEmpty():
+        ids = scratch.keep("ids", split.select(F.col("rep").alias("wanted")).distinct())
+        few = ids.count() <= broadcast_rows
+        wanted = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted"), "left_semi")
+        full = scratch.keep("full", wanted.select("id", "text").mapInArrow(_full, "id bigint, full array<bigint>"))
+    for level in range(LEVELS + 1):
+        if split.isEmpty():
             break
-        if not pairs.isEmpty():
-            links = links.union(_verified(pairs, classes, docs, scratch, k, broadcast_rows))
+        # short lists are finished pair by pair; long ones get another round
+        one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        each = split.groupBy("v").agg(F.count("*").alias("m"), one(F.col("linked")).alias("x"), one(~F.col("linked") & F.col("short")).alias("y"))
+        members, every = each.agg(F.sum("m"), F.sum(F.col("x") * (F.col("m") - F.col("x")) + F.col("y") * (F.col("y") - 1) / 2)).first()
+        last = level == LEVELS or (level > 0 and every <= PAIRS_A_MEMBER * members)
+        if not last:
+            pairs = split.where("root <> hub_root").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        else:
+            x, y = (split.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short")]) for i in "xy")
+            roles = (F.col("linkedx") != F.col("linkedy")) | (~F.col("linkedx") & F.col("shortx") & F.col("shorty"))
+            pairs = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles)
+            pairs = pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
+        new = _links(pairs, classes, full, scratch, k)
+        if not new.isEmpty():
+            links = links.union(new)
             comp = components(links, scratch)
-            done = pairs if done is None else done.union(pairs)
-        lists = scratch.keep("lists", lists.join(chosen.withColumn("new", F.lit(True)), ["v", "rep"], "left").select("v", "rep", (F.col("hub") | F.coalesce("new", F.lit(False))).alias("hub")))
-        hubs = 16 if hubs == 1 else hubs * 4
+        if last:
+            break
+        left = scratch.keep("left", _split(split.select("rep", "n", "score", "v", "linked", "short"), comp))
+        if left.isEmpty():
+            break
+        split = scratch.keep("split", _split(_sublists(left, full), comp))
     sets = classes.select("h1", "h2", "n", "rep")
     if comp is not None:
         sets = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
