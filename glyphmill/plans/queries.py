@@ -1,7 +1,400 @@
-"""Registered queries."""
+"""The registered queries: each applies an operator of this engine to whole tables."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphmill.functions import columns as C
+from glyphmill.functions.vectorised import Functions
+from glyphmill.operators import features as X
+from glyphmill.operators import scoring as S
+from glyphmill.plans import models
+from glyphmill.sources.frames import ModelFrames, codebook_frame, code_frame, to_frames
+from glyphmill.sources.model_file import CENTROIDS, Codebook, Matrix, huffman, parse
 
 QUERIES: dict = {}
 
 
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def frames(spark: SparkSession, d: str, **options) -> ModelFrames:
+    return to_frames(spark, models.formula_model(docs(spark, d), **options))
+
+
+@query
+def t01_tokenize(spark, d):
+    return docs(spark, d).select("doc_id", F.size(C.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query
+def t02_end_token(spark, d):
+    rows = X.token_rows(docs(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.max(F.struct("pos", "token")).alias("m"))
+    return rows.select("doc_id", F.col("m.pos").cast("long").alias("pos"), "m.token")
+
+
+def _distinct_tokens(spark, d):
+    return X.token_rows(docs(spark, d), "doc_id", "text").select("token").distinct()
+
+
+@query
+def t03_fnv1a(spark, d):
+    return _distinct_tokens(spark, d).select("token", C.fnv1a(F.col("token")).alias("h"))
+
+
+@query
+def t04_vocab_lookup(spark, d):
+    rows = X.lookup(X.token_counts(docs(spark, d)), frames(spark, d))
+    known = F.sum(F.when(F.col("id") >= 0, F.col("cnt")).otherwise(0))
+    return rows.groupBy("doc_id").agg(known.alias("n_known"), F.sum(F.when(F.col("id") < 0, F.col("cnt")).otherwise(0)).alias("n_oov"))
+
+
+@query
+def t05_token_routing(spark, d):
+    text = F.concat_ws(" ", "text", F.concat(F.lit("__label__"), F.col("lang")), F.concat(F.lit("__label__x"), F.col("doc_id").cast("string")))
+    rows = X.lookup(X.token_counts(docs(spark, d).withColumn("text", text)), frames(spark, d))
+    part = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0))
+    label = F.col("entry_type") == 1
+    return rows.groupBy("doc_id").agg(part(~label).alias("n_word"), part(label & (F.col("id") >= 0)).alias("n_label_known"), part(label & (F.col("id") < 0)).alias("n_label_unknown"))
+
+
+def _vocabulary_tokens(spark, d):
+    return spark.createDataFrame([(w,) for w, _ in models.vocabulary(docs(spark, d)) if w != "</s>"], "token string")
+
+
+@query
+def t06_char_ngrams(spark, d):
+    grams = _vocabulary_tokens(spark, d).select("token", F.explode(C.char_ngrams(F.col("token"), 2, 4)).alias("g"))
+    hashes = grams.select("g").distinct().select("g", (C.fnv1a(F.col("g")) % models.BUCKET).alias("h"))
+    return grams.join(hashes, "g").groupBy("token").agg(F.count("*").alias("n_grams"), F.sum("h").alias("sum_bucket"))
+
+
+@query
+def t07_markers(spark, d):
+    return _vocabulary_tokens(spark, d).select("token", C.fnv1a(F.concat(F.lit("<"), F.col("token"), F.lit(">"))).alias("h"))
+
+
+@query
+def t08_prune_remap(spark, d):
+    out = None
+    for mode, size in (("all", -1), ("none", 0), ("some", 1)):
+        m = frames(spark, d, minn=3, maxn=3, prune_size=size)
+        hashes = spark.range(models.BUCKET).select(F.lit(mode).alias("mode"), F.col("id").alias("h"))
+        got = X.remap(hashes, m).agg(F.count("*").alias("n_emitted"), F.coalesce(F.sum("row_id"), F.lit(0)).alias("sum_id")).select(F.lit(mode).alias("mode"), "n_emitted", "sum_id")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query
+def t09_token_ids(spark, d):
+    m = frames(spark, d, minn=3, maxn=4)
+    one = _vocabulary_tokens(spark, d).select(F.col("token").alias("doc_id"), F.lit(1).cast("long").alias("cnt"), "token")
+    rows = X.word_features(one, m)
+    return rows.groupBy(F.col("doc_id").alias("token")).agg(F.sum("cnt").alias("n_ids"), F.sum(F.col("row_id") * F.col("cnt")).alias("sum_ids"))
+
+
+def _word_ngrams(spark, d, n):
+    rows = X.word_ngram_buckets(docs(spark, d), frames(spark, d, word_ngrams=n))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("h").alias("sum_bucket"))
+
+
+@query
+def t11_word_bigrams(spark, d):
+    return _word_ngrams(spark, d, 2)
+
+
+@query
+def t11_word_trigrams(spark, d):
+    return _word_ngrams(spark, d, 3)
+
+
+@query
+def t12_features(spark, d):
+    return X.features(docs(spark, d), frames(spark, d))
+
+
+@query
+def t12_line_labels(spark, d):
+    text = F.concat_ws(" ", "text", F.concat(F.lit("__label__"), F.col("lang")))
+    return X.line_labels(docs(spark, d).withColumn("text", text), frames(spark, d))
+
+
+@query
+def t13_labels(spark, d):
+    return frames(spark, d).labels.select("label_id", "label")
+
+
+@query
+def t14_label_counts(spark, d):
+    return frames(spark, d).labels
+
+
+@query
+def t15_dim(spark, d):
+    return spark.createDataFrame([(frames(spark, d).dim,)], "dim bigint")
+
+
+def _hidden(spark, d, m=None):
+    m = m or frames(spark, d)
+    return S.hidden(X.features(docs(spark, d), m), m)
+
+
+def _six(x):
+    """Six digits; the offset keeps sums of sixty-fourths off the ties, which the two engines round differently."""
+    return F.round(x + 1e-9, 6)
+
+
+@query
+def a01_sentence_vector(spark, d):
+    return _hidden(spark, d).select("doc_id", F.posexplode("hidden").alias("d", "v")).select("doc_id", F.col("d").cast("long").alias("d"), _six(F.col("v")).alias("value"))
+
+
+@query
+def r12_subword_vector(spark, d):
+    rows = _hidden(spark, d, frames(spark, d, minn=3, maxn=3)).select("doc_id", F.posexplode("hidden").alias("d", "v"))
+    return rows.select("doc_id", F.col("d").cast("long").alias("d"), _six(F.col("v")).alias("value"))
+
+
+@query
+def m02_dot(spark, d):
+    m = frames(spark, d)
+    return S.scores(_hidden(spark, d, m), m).select("doc_id", "label_id", _six(F.col("score")).alias("score"))
+
+
+PARTS, WIDTH, LAST, QUANTISED_ROWS = 3, 3, 2, 200
+
+
+def _book(parts: int, width: int, last: int, seed: int) -> Codebook:
+    values = [((c * 7 + i * 5 + j * 3 + seed) % 33 - 16) / 16 for i in range(parts) for c in range(CENTROIDS) for j in range(last if i == parts - 1 else width)]
+    return Codebook((parts - 1) * width + last, parts, width, last, np.array(values, np.float32))
+
+
+def quantised_matrix() -> Matrix:
+    codes = np.array([[(r * 11 + i * 3) % 256 for i in range(PARTS)] for r in range(QUANTISED_ROWS)], np.uint8)
+    norms = np.array([(r * 5) % 256 for r in range(QUANTISED_ROWS)], np.uint8)
+    return Matrix(QUANTISED_ROWS, (PARTS - 1) * WIDTH + LAST, np.zeros((0, 0), np.float32), codes, _book(PARTS, WIDTH, LAST, 0), norms, _book(1, 1, 1, 4))
+
+
+def _decoded(spark):
+    m = quantised_matrix()
+    return S.decode_rows(code_frame(spark, m), codebook_frame(spark, m.book), codebook_frame(spark, m.norm_book))
+
+
+@query
+def m04_pq_decode(spark, d):
+    return _decoded(spark).select("row_id", F.posexplode("vec").alias("d", "v")).select("row_id", F.col("d").cast("long").alias("d"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query
+def m05_pq_dot(spark, d):
+    query_vector = F.array(*[F.lit((j % 5 - 2) / 4) for j in range((PARTS - 1) * WIDTH + LAST)])
+    return _decoded(spark).select("row_id", F.round(C.dot(F.col("vec"), query_vector), 6).alias("score"))
+
+
+@query
+def m06_row_norm(spark, d):
+    m = quantised_matrix()
+    norms = codebook_frame(spark, m.norm_book).where("part = 0").select(F.col("code").alias("norm_code"), F.get("vec", F.lit(0)).cast("double").alias("norm"))
+    return code_frame(spark, m).join(F.broadcast(norms), "norm_code").select("row_id", "norm")
+
+
+def _softmax(spark, d):
+    m = frames(spark, d)
+    return S.softmax(S.scores(_hidden(spark, d, m), m)).join(F.broadcast(m.labels.select("label_id", "label")), "label_id")
+
+
+@query
+def r01_softmax(spark, d):
+    return _softmax(spark, d).select("doc_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query
+def r02_biased_log(spark, d):
+    return docs(spark, d).select("doc_id", F.round(C.std_log(F.col("n_chars") / 1000), 6).alias("y"))
+
+
+@query
+def r03_sigmoid(spark, d):
+    x = (F.col("n_chars") % 401 - 200) / 20
+    return docs(spark, d).select("doc_id", F.round(C.sigmoid(x), 6).alias("y"))
+
+
+def _top(spark, d, k, threshold=0.0, **options):
+    m = frames(spark, d, **options)
+    return S.predict_rows(docs(spark, d), m, k, threshold).select("doc_id", F.col("rank").cast("long").alias("rank"), "label", F.round("prob", 6).alias("prob"))
+
+
+@query
+def r05_topk(spark, d):
+    return _top(spark, d, 3)
+
+
+@query
+def r05_threshold(spark, d):
+    return _top(spark, d, 4, 0.3)
+
+
+@query
+def r04_hierarchical(spark, d):
+    return _top(spark, d, 4, loss=1).select("doc_id", "label", "prob")
+
+
+@query
+def s19_huffman(spark, d):
+    labels = frames(spark, d).labels.orderBy("label_id").collect()
+    paths = huffman([r.cnt for r in labels])
+    return spark.createDataFrame([(r.label, len(p)) for r, p in zip(labels, paths, strict=True)], "label string, depth bigint")
+
+
+def _top1(spark, d):
+    m = models.count_frames(spark, docs(spark, d))
+    odd = docs(spark, d)
+    return S.predict_rows(odd, m, 1).select("doc_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query
+def r11_predict_top1(spark, d):
+    """The flagship: the language of every document."""
+    return _top1(spark, d)
+
+
+def _judged(spark, d):
+    return _top1(spark, d).join(docs(spark, d).select("doc_id", F.concat(F.lit("__label__"), "lang").alias("expected")), "doc_id")
+
+
+@query
+def w01_precision(spark, d):
+    return _judged(spark, d).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("expected")).cast("int")), 6).alias("precision_at_1"))
+
+
+@query
+def w02_failures(spark, d):
+    return _judged(spark, d).where("label <> expected").select("doc_id", "expected", "label")
+
+
+@query
+def w04_agreement(spark, d):
+    a = _top(spark, d, 1).select("doc_id", F.col("label").alias("a"))
+    return a.join(_top1(spark, d).select("doc_id", F.col("label").alias("b")), "doc_id").agg(F.count("*").alias("n"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("agree"))
+
+
+@query
+def w05_vector_close(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    moved = F.transform("embedding", lambda x: (x.cast("double") + F.when(F.col("vec_id") % 2 == 0, 0.00005).otherwise(0.0002)))
+    return e.select("vec_id", C.close(F.col("embedding"), moved, 1e-4).alias("close"))
+
+
+@query
+def w06_prob_close(spark, d):
+    return _softmax(spark, d).select("doc_id", "label", C.near_relative(F.round("prob", 2), F.round("prob", 6), 0.02).alias("close"))
+
+
+@query
+def w07_sorted(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("rank")
+    rows = _top(spark, d, 4).withColumn("before", F.lag("prob").over(w))
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce(F.col("prob") <= F.col("before"), F.lit(True))).alias("sorted"))
+
+
+@query
+def w08_topk_sweep(spark, d):
+    rows = _top(spark, d, 50)
+    ks = F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 5, 10, 50)])).alias("k")
+    return rows.select("rank", "prob", ks).where("rank <= k").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 5).alias("avg_prob"))
+
+
+@query
+def w09_by_length(spark, d):
+    bucket = F.when(F.col("n_chars") < 100, "short").when(F.col("n_chars") < 800, "medium").otherwise("long")
+    rows = _top1(spark, d).join(docs(spark, d).select("doc_id", bucket.alias("bucket")), "doc_id")
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 5).alias("avg_prob"))
+
+
+@query
+def w10_by_lang(spark, d):
+    rows = _top1(spark, d).join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 5).alias("avg_prob"))
+
+
+def _functions(spark, d):
+    return Functions(spark, models.formula_model(docs(spark, d)))
+
+
+@query
+def v_predict_udf(spark, d):
+    rows = _functions(spark, d).predict(docs(spark, d)).select("doc_id", F.get("predictions", F.lit(0)).alias("p"))
+    return rows.select("doc_id", "p.label", F.round(F.col("p.probability").cast("double"), 4).alias("prob"))
+
+
+@query
+def v_embed_udf(spark, d):
+    rows = docs(spark, d).select("doc_id", F.posexplode(_functions(spark, d).sentence_vector("text")).alias("d", "v"))
+    return rows.select("doc_id", F.col("d").cast("long").alias("d"), F.round(F.col("v").cast("double") + 1e-6, 4).alias("value"))
+
+
+@query
+def v_token_ids(spark, d):
+    ids = _functions(spark, d).token_ids("text")
+    rows = docs(spark, d).select("doc_id", ids.alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_ids"))
+
+
+@query
+def v_predict_udtf(spark, d):
+    _functions(spark, d).register("glyphmill_")
+    docs(spark, d).createOrReplaceTempView("glyphmill_documents")
+    return spark.sql("SELECT doc_id, p.label, round(CAST(p.probability AS DOUBLE), 4) AS prob FROM glyphmill_documents, LATERAL glyphmill_predict_table(text, 1, 0.0D) AS p")
+
+
+@query
+def v_stream_predict(spark, d):
+    import uuid
+
+    from glyphmill.streaming.predict import predict_stream, run_to_end
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp()
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    functions = _functions(spark, d)
+    stream = spark.readStream.schema(docs(spark, d).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet")
+    run_to_end(predict_stream(stream, functions), f"{out}/rows", f"{out}/state")
+    rows = spark.read.parquet(f"{out}/rows").select("doc_id", F.get("predictions", F.lit(0)).alias("p"))
+    return rows.select("doc_id", "p.label", F.round(F.col("p.probability").cast("double"), 4).alias("prob"))
+
+
+def model_bytes() -> bytes:
+    """A small dense model file in the format, for the round trip."""
+    words = [("</s>", 9, 0), ("hello", 5, 0), ("world", 4, 0), ("__label__a", 6, 1), ("__label__b", 3, 1)]
+    head = struct.pack("<2i12id", 793712314, 12, 4, 5, 1, 1, 5, 1, 3, 3, 10, 2, 3, 100, 0.5)
+    entries = b"".join(w.encode() + b"\0" + struct.pack("<qB", c, k) for w, c, k in words)
+    dense = lambda m: struct.pack("<B2q", 0, m, 4) + np.array([models.input_weight(r, j) for r in range(m) for j in range(4)], "<f4").tobytes()
+    return head + struct.pack("<3i2q", 5, 3, 2, 27, -1) + entries + dense(13) + dense(2)
+
+
+@query
+def s05_format_roundtrip(spark, d):
+    m = parse(model_bytes())
+    rows = [("args", len(m.args)), ("dictionary", len(m.words)), ("labels", m.nlabels), ("input", m.input.rows), ("output", m.output.rows)]
+    return spark.createDataFrame(rows, "section string, n bigint")
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    from glyphmill.plans.oracles import oracles as sql
+
+    return sql()
+
+
