@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.bpe import Pairs, merge_words
 
 PIECE_CHARS = 1 << 19
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 22
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -35,7 +35,7 @@ codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class Cache:
-    """word to value; emptied when full.  Long words are not kept."""
+    """word to value; when full, only the words of the group at hand stay.  Long words are not kept."""
 
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode, self.known = encode, {}
@@ -46,9 +46,8 @@ class Cache:
         except KeyError:
             pass
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
+        if len(self.known) + len(new) > CACHE_WORDS:  # what this group knows already is what texts have in common
+            self.known = {w: self.known[w] for w in words if w in self.known}
         self.known.update(zip(new, self.encode(new), strict=True))
         found = list(map(self.known.__getitem__, words))
         for w in new:
