@@ -80,7 +80,7 @@ class Predictor:
         self.memo: dict[str, tuple[int, list[int], int]] = {}
         if model.tree is not None:
             self.children: dict[int, dict[bool, tuple[str, int]]] = {}
-            for label, path in enumerate(model.tree):
+            for label, path in ((i, p) for i, p in enumerate(model.tree) if p):
                 for (row, right), follow in zip(path, [*[("node", r) for r, _ in path[1:]], ("leaf", label)], strict=True):
                     self.children.setdefault(row, {})[right] = follow
 
