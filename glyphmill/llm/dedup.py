@@ -156,10 +156,10 @@ def _sublists(split: DataFrame, full: DataFrame) -> DataFrame:
     linked = F.col("size") <= TAU * (F.col("n") + F.col("nh")) + 1e-9
     # two that are not linked, or x linked and y not: either way x holds at least this much of the overlap
     half = F.ceil(F.col("size") * (1 - TAU) / 2 - 1e-9)
-    # y not linked, whose partner may be linked, with a smaller difference; the sizes of the two sets are close
+    # in any pair, for the partner's difference holds the overlap and the sizes of the two sets are close
     rest = F.ceil(F.col("size") - TAU * (1 + 100 / JACCARD_PERCENT) * F.col("n") - 1e-9)
     half, rest = F.greatest(F.lit(1), half), F.greatest(F.lit(1), rest)
-    rows = rows.select("hub", "rep", "n", "score", "size", linked.alias("linked"), half.alias("half"), F.when(linked, half).otherwise(F.least(half, rest)).alias("need"), F.explode("d").alias("e"))
+    rows = rows.select("hub", "rep", "n", "score", "size", linked.alias("linked"), F.greatest(half, rest).alias("half"), F.when(linked, half).otherwise(rest).alias("need"), F.explode("d").alias("e"))
     shared = rows.groupBy("hub", "e").agg(F.count("*").alias("df")).where("df > 1")
     common = rows.join(shared, ["hub", "e"]).groupBy("hub", "rep").agg(
         F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"), *[F.first(x).alias(x) for x in ("n", "score", "size", "half", "need", "linked")]
