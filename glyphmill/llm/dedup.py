@@ -215,6 +215,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if left.isEmpty():
             break
         split = scratch.keep("split", _split(_sublists(left, full), comp))
+    scratch.drop("lists", "split", "left", "ids", "full", "links", "twice")  # the result reads rows, classes and components
     sets = classes.select("h1", "h2", "n", "rep")
     if comp is not None:
         sets = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
