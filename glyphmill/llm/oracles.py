@@ -28,8 +28,6 @@ FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GR
 
 def _op2() -> str:
     """Positions from splitting at the pattern; entropy of every window from list_entropy."""
-    both = f"({secrets.KEYWORDS})"
-
     def places(pattern: str, kind: int, source: str) -> str:
         return f"""
         SELECT doc_id, {kind} AS kind, m[i] AS word,
@@ -41,7 +39,7 @@ def _op2() -> str:
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     found AS ({places(secrets.ASSIGN, 0, "d")} UNION ALL {places(secrets.ACCESS, 1, "d")} UNION ALL {places(secrets.HEX, 2, "d")} UNION ALL {places(secrets.CANDIDATE, 3, "d")}),
-    base AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(word))::BIGINT AS b FROM found WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(word, '{secrets.VALUE}+$')) >= {secrets.MIN_ASSIGNED} AND regexp_matches(word, {_q(both)})),
+    base AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(word))::BIGINT AS b FROM found WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(word, {_q(secrets.ASSIGN)}, 2)) >= {secrets.MIN_ASSIGNED}),
     more AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(word))::BIGINT AS b FROM found f WHERE kind = 3 AND NOT ({allowed})
       AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = f.doc_id AND x.a < f.a + length(f.word) AND f.a < x.b)
       AND {windows} >= CASE WHEN regexp_matches(word, {_q(secrets.HEX_CLASS)}) THEN {secrets.THRESHOLD["hex"]} ELSE {secrets.THRESHOLD["mixed"]} END),

@@ -130,7 +130,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.size("_any") > 0, F.regexp_extract_all("_text", F.lit(HEX), F.lit(0))).otherwise(none).alias("_h"),
         F.when(F.size("_any") > 0, F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none).alias("_e"),
     )
-    assigned = F.filter(_matches(F.col("_text"), F.col("_a"), ASSIGN), lambda x: F.length(F.regexp_extract(x["text"], f"({VALUE}+)$", 1)) >= MIN_ASSIGNED)
+    assigned = F.filter(_matches(F.col("_text"), F.col("_a"), ASSIGN), lambda x: F.length(F.regexp_extract(x["text"], ASSIGN, 2)) >= MIN_ASSIGNED)
     rows = rows.select(
         "_id", *extra, "_text", "_e",
         F.concat(

@@ -14,6 +14,7 @@ ODD = [
     (1, None), (2, ""), (3, " \n\t"), (4, "a b c a b c"), (5, "a b c a b c"), (6, "x " * 60), (7, "\n".join(["same line here"] * 9)), (8, "é#ü 中文 *$%&|<>"),
     (9, 'Password = "abcdefghijkl" token: short secret: abcdefghijklmnop'), (10, "AKIA" + "A1" * 8 + " " + "0123456789abcdef" * 3), (None, "no id"), (11, "w" * 50000 + " " + "z y x " * 3000),
     (12, "key aGk3Lq9ZpT2vXb7NsR4wYc8M end"), (13, "550e8400-e29b-41d4-a716-446655440000"), (14, "ſecret = abcdefghijklmnop api_key=AAAABBBBCCCC1"), (15, "tokentoken==abcdefghijklm' "),
+    (16, "token=abc123 my.token=abcdefgh1234 api_key=short password==abc"), (17, "secret=token=ab"), (18, "token=password=abc secret=0123456789ab"),
 ]
 
 
