@@ -14,6 +14,7 @@ from glyphmill.sources.frames import ModelFrames
 from glyphmill.sources.model_file import EOS, Matrix, Model, huffman
 
 VOCABULARY, BUCKET, DIM = 2000, 3000, 8
+MOST_LABELS = 1000
 
 
 def input_weight(r: int, d: int) -> float:
@@ -32,10 +33,18 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]
     return [(EOS, int(eos.n) if eos else 0)] + [(r.token, int(r.n)) for r in top]
 
 
+def languages(docs: DataFrame) -> list[tuple[str, int]]:
+    """Languages and their documents, count falling, then name.  They become labels, so a column with too many is an error."""
+    rows = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").take(MOST_LABELS + 1)
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} languages: not a label column")
+    return [(r.lang, int(r.n)) for r in rows]
+
+
 def formula_model(docs: DataFrame, maxn: int = 0, minn: int = 0, word_ngrams: int = 1, loss: int = 3, prune_size: int = -1, size: int = VOCABULARY) -> Model:
     """Weights by formula over a counted vocabulary; labels are the languages by count."""
     words = vocabulary(docs, size)
-    langs = [(f"__label__{r.lang}", int(r.n)) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").where("lang IS NOT NULL").limit(1000).collect()]
+    langs = [(f"__label__{lang}", n) for lang, n in languages(docs)]
     entries = words + langs
     grams = maxn > 0 or word_ngrams > 1
     rows = len(words) + (BUCKET if grams else 0)
@@ -53,13 +62,13 @@ def formula_model(docs: DataFrame, maxn: int = 0, minn: int = 0, word_ngrams: in
 
 
 def count_frames(spark: SparkSession, docs: DataFrame) -> ModelFrames:
-    """Language counts per token, from even ids, as a model: row r holds floor(64 * share of each language) / 64."""
-    even = docs.where("doc_id % 2 = 0 AND text IS NOT NULL AND lang IS NOT NULL")
-    langs = even.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
-    counts = token_counts(even.select(F.struct("doc_id", "lang").alias("doc_id"), "text")).groupBy("token", F.col("doc_id.lang").alias("lang")).agg(F.sum("cnt").alias("n"))
-    wide = counts.groupBy("token").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == r.lang, F.col("n")).otherwise(0)).alias(f"l{i}") for i, r in enumerate(langs)])
+    """Language counts per token, over all documents, as a model: row r holds floor(64 * share of each language) / 64."""
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
+    langs = languages(known)
+    counts = token_counts(known.select(F.struct("doc_id", "lang").alias("doc_id"), "text")).groupBy("token", F.col("doc_id.lang").alias("lang")).agg(F.sum("cnt").alias("n"))
+    wide = counts.groupBy("token").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"l{i}") for i, (lang, _) in enumerate(langs)])
     named = wide.select(F.xxhash64("token").alias("id"), "token", "all", F.array(*[(F.floor(64 * F.col(f"l{i}") / F.col("all")) / 64).cast("float") for i in range(len(langs))]).alias("vec"))
-    labels = spark.createDataFrame([(i, f"__label__{r.lang}", int(r.n)) for i, r in enumerate(langs)], "label_id bigint, label string, cnt bigint")
+    labels = spark.createDataFrame([(i, f"__label__{lang}", n) for i, (lang, n) in enumerate(langs)], "label_id bigint, label string, cnt bigint")
     outputs = spark.createDataFrame([(i, [8.0 * (i == j) for j in range(len(langs))]) for i in range(len(langs))], "label_id bigint, vec array<float>")
     # ids are hashes, so that no task numbers the whole vocabulary; negative ones are shifted to stay known
     named = named.withColumn("id", F.col("id").bitwiseAND(F.lit((1 << 62) - 1).cast("long")))

@@ -38,9 +38,9 @@ prob AS (SELECT doc_id, label_id, exp(score - m) / sum(exp(score - m)) OVER (PAR
 COUNTED = f"""
 WITH all_pos AS (SELECT doc_id, lang, unnest({_tokens()}) AS token FROM documents WHERE text IS NOT NULL),
 cnt AS (SELECT doc_id, token, count(*) AS cnt FROM all_pos GROUP BY 1, 2),
-even AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL AND lang IS NOT NULL),
-labels AS (SELECT row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS label_id, lang FROM even GROUP BY lang),
-lc AS (SELECT token, lang, count(*) AS n FROM all_pos WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY 1, 2),
+known AS (SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+labels AS (SELECT row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS label_id, lang FROM known GROUP BY lang),
+lc AS (SELECT token, lang, count(*) AS n FROM all_pos WHERE lang IS NOT NULL GROUP BY 1, 2),
 tot AS (SELECT token, sum(n) AS n FROM lc GROUP BY 1),
 vec AS (SELECT tot.token, label_id, floor(64 * coalesce(lc.n, 0) / tot.n::DOUBLE) / 64 AS w FROM tot CROSS JOIN labels LEFT JOIN lc ON lc.token = tot.token AND lc.lang = labels.lang),
 score AS (SELECT doc_id, label_id, 8 * sum(cnt * w) / sum(cnt) AS score FROM cnt JOIN vec USING (token) GROUP BY 1, 2),
