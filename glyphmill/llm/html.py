@@ -12,6 +12,9 @@ Three passes over the pages, all narrow but one join of the per-host wrapper: a
 slot texts (combined per batch, then by Spark, before any shuffle), then extraction.  The wrapper goes to the pages by
 broadcast if its size, measured, is under ``broadcast_bytes``, otherwise by a join in which AQE may split a hot host.
 
+Nodes deeper than ``DEEPEST`` levels are not aligned, so they stay content; two child lists whose table would have over
+``WIDEST`` squared cells are aligned in order.
+
 Null html: empty text.  Null urls share the empty host.  Null ids never serve as reference; a host without one has no
 constant slots.  Repeated rows give equal texts; an empty table gives an empty result; columns
 other than id, url and html are not read.
@@ -20,6 +23,7 @@ other than id, url and html are not read.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,15 +56,18 @@ WORDS = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)|<[!?/][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAMES = re.compile(r"[a-z]+")
+#: Odd tags must not hold the marks of ``shape_text``.
+PLAIN = str.maketrans("(),", "___")
 
 
 class Node:
-    """A block element: its tag, whether its role is boilerplate, and children that are nodes or texts."""
+    """A block element: its tag, whether its role is boilerplate, whether it lies in an article or main element, and
+    children that are nodes or texts; equal ``shape`` numbers mean equal trees of tags."""
 
-    __slots__ = ("tag", "boiler", "children", "text", "shape")
+    __slots__ = ("tag", "boiler", "inside", "children", "text", "shape")
 
-    def __init__(self, tag: str, boiler: bool):
-        self.tag, self.boiler, self.children, self.text, self.shape = tag, boiler, [], "", ""
+    def __init__(self, tag: str, boiler: bool, inside: bool = False):
+        self.tag, self.boiler, self.inside, self.children, self.text, self.shape = tag, boiler, inside, [], "", -1
 
 
 def _boiler(tag: str, attributes: str, inside_main: bool) -> bool:
@@ -79,8 +86,13 @@ def parse(source: str) -> Node:
     """The tree of block elements; inline elements are transparent, br ends a block."""
     root = Node("#root", False)
     stack = [root]
+    opened: Counter = Counter()  # tags on the stack: what is not open is not searched for
     at = 0
 
+    def close(depth: int) -> None:
+        opened.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
+
     def put(text: str) -> None:
         if text:
             c = stack[-1].children
@@ -104,13 +116,10 @@ def parse(source: str) -> Node:
             if end < 0:
                 break
             attributes, at = source[m.start(3) : end], end + 1
-        tag = m[2].lower()
+        tag = m[2].lower().translate(PLAIN)
         if m[1]:
-            if tag in INLINE:
-                continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if tag not in INLINE and opened[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
@@ -118,29 +127,45 @@ def parse(source: str) -> Node:
             continue
         if tag in INLINE:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "button", "table"):
                     break
-        elif tag in LISTED:
+        elif tag in LISTED and any(opened[t] for t in LISTED[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPES[tag]:
                     break
                 if stack[i].tag in LISTED[tag]:
-                    del stack[i:]
+                    close(i)
                     break
-        inside = any(n.tag in ("article", "main") for n in stack)
-        node = Node(tag, stack[-1].boiler or _boiler(tag, attributes, inside))
+        inside = stack[-1].inside
+        node = Node(tag, stack[-1].boiler or _boiler(tag, attributes, inside), inside or tag in ("article", "main"))
         stack[-1].children.append(node)
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     _finish(root)
     return root
 
 
+_SHAPES: dict[tuple, int] = {}
+_NUMBERS = itertools.count()
+
+
+def _shape(tag: str, children: tuple[int, ...]) -> int:
+    """One number for each tree of tags.  When the table is cleared, an old tree may get a second number: then two
+    equal trees are compared in full, which gives the same match."""
+    key = (tag, *children)
+    if key not in _SHAPES:
+        if len(_SHAPES) > 200_000:
+            _SHAPES.clear()
+        _SHAPES[key] = next(_NUMBERS)
+    return _SHAPES[key]
+
+
 def _finish(root: Node) -> None:
     """Own texts and shapes, from the leaves up, without recursion."""
     order, todo = [], [root]
@@ -150,7 +175,24 @@ def _finish(root: Node) -> None:
         todo += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
         n.text = " ".join(" ".join(entities.unescape(c).split()) for c in n.children if isinstance(c, str))
-        n.shape = n.tag + "(" + ",".join(c.shape for c in n.children if isinstance(c, Node)) + ")" if any(isinstance(c, Node) for c in n.children) else n.tag
+        n.shape = _shape(n.tag, tuple(c.shape for c in n.children if isinstance(c, Node)))
+
+
+def shape_text(root: Node) -> str:
+    """The tree of tags as text: tag(child,child)."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        out.append(n.tag)
+        if inner := _nodes(n):
+            todo.append(")")
+            for i, c in enumerate(reversed(inner)):
+                todo += [",", c] if i else [c]
+            todo.append("(")
+    return "".join(out)
 
 
 def shape_tree(shape: str) -> Node:
@@ -170,7 +212,7 @@ def shape_tree(shape: str) -> Node:
     return out
 
 
-_MATCHED: dict[tuple[str, str], int] = {}
+_MATCHED: dict[tuple[int, int], int] = {}
 DEEPEST, WIDEST = 60, 400
 
 
@@ -294,7 +336,7 @@ def induce(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: st
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(t.as_py() or "").shape for t in b.column(1)], pa.string())], names=["host", "shape"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shape_text(parse(t.as_py() or "")) for t in b.column(1)], pa.string())], names=["host", "shape"])
 
     own = rows.join(F.broadcast(first) if few else first, (F.col("_id") == F.col("_first")) & (F.col("_host") == F.col("_h")))
     refs = scratch.keep("refs", own.select("_host", "_html").mapInArrow(shapes, "host string, shape string").groupBy("host").agg(F.min("shape").alias("shape")))

@@ -129,6 +129,16 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_deep_and_odd_trees():
+    deep = html.parse("<div>" * 30_000 + "end")
+    assert html.extract(deep, html.shape_tree(html.shape_text(deep)), frozenset([1])) == "end"
+    odd = html.parse("<x)><y,(z>in</y,(z></x)><p>out")
+    assert html.shape_text(html.shape_tree(html.shape_text(odd))) == html.shape_text(odd) == "#root(x_(y__z),p)"
+    for source in ("", "<p>a<ul><li>b<li>c<p>d</ul>"):
+        tree = html.parse(source)
+        assert html.shape_tree(html.shape_text(tree)).shape == tree.shape
+
+
 def test_tree_matching_is_largest():
     a, b = html.shape_tree("r(x,y(p,p),z,p)"), html.shape_tree("r(y(p),x,z(q),p)")
     assert html.matching(a, b) == 1 + 2 + 1 + 1 == len(html.align(a, b))
