@@ -13,7 +13,7 @@ A document's set holds the hashes of its distinct 5-word shingles; its sketch is
 4. In a list that still holds several components, take x and y that are not both linked with the hub h.  The symmetric differences
    D(x), D(y) to h must overlap if x and y are similar: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So the members
    go into new, much shorter lists keyed by (h, element of the rarest part of D).  Lists that are short then are compared
-   pair by pair; otherwise step 3 runs on them, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
+   pair by pair, where the places of the shared element in both differences leave room for the overlap; otherwise step 3 runs on them, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
 5. Components come from alternating large-star and small-star steps on the links, in written tables.
 
 What can be lost: a pair at the limit shares need = 0.6 k of the k smallest values of its union unless a binomial
@@ -115,7 +115,7 @@ def _prefixes(classes: DataFrame, k: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / JACCARD_PERCENT))
     rows = common.where(take > 0).select("rep", "n", (F.col("logs") / F.col("size")).alias("score"), F.explode(F.slice("c", F.lit(1), take)).alias("x"), band.alias("band"))
     keys = F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))
-    return rows.select("rep", "n", "score", F.explode(keys).alias("v"), F.lit(False).alias("linked"), F.lit(True).alias("short"))
+    return rows.select("rep", "n", "score", F.explode(keys).alias("v"), F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(0).alias("size"), F.lit(0).alias("pos"))
 
 
 def _with_roots(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -165,8 +165,8 @@ def _sublists(split: DataFrame, full: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "e"))).alias("c"), *[F.first(x).alias(x) for x in ("n", "score", "size", "half", "need", "linked")]
     )  # at most the two sets of one pair
     first = lambda need: (F.col("size") - F.col(need) + 1 - (F.col("size") - F.size("c"))).cast("int")
-    rows = common.where(first("need") > 0).select("hub", "rep", "n", "score", "linked", first("half").alias("h"), F.posexplode(F.slice("c", F.lit(1), first("need"))).alias("i", "x"))
-    return rows.select("rep", "n", "score", F.xxhash64("hub", "x.e").alias("v"), "linked", (F.col("i") < F.col("h")).alias("short"))
+    rows = common.where(first("need") > 0).select("hub", "rep", "n", "score", "linked", first("half").alias("h"), "size", (F.col("size") - F.size("c")).alias("alone"), F.posexplode(F.slice("c", F.lit(1), first("need"))).alias("i", "x"))
+    return rows.select("rep", "n", "score", F.xxhash64("hub", "x.e").alias("v"), "linked", (F.col("i") < F.col("h")).alias("short"), "size", (F.col("alone") + F.col("i")).alias("pos"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, broadcast_rows: int = 500_000) -> DataFrame:
@@ -201,9 +201,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not last:
             pairs = split.where("root <> hub_root").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         else:
-            x, y = (split.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short")]) for i in "xy")
+            x, y = (split.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short", "n", "size", "pos")]) for i in "xy")
             roles = (F.col("linkedx") != F.col("linkedy")) | (~F.col("linkedx") & F.col("shortx") & F.col("shorty"))
-            pairs = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles)
+            # the first element that two differences share leaves room for the overlap they need; sizes are close, too
+            overlap = F.col("sizex") + F.col("sizey") - TAU * (F.col("nx") + F.col("ny"))
+            room = F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy"))
+            may = (2 * room >= overlap - 1e-9) & (100 * F.least("nx", "ny") >= JACCARD_PERCENT * F.greatest("nx", "ny"))
+            pairs = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles & may)
             pairs = pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
         new = _links(pairs, classes, full, scratch, k)
         if not new.isEmpty():
