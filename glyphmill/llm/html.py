@@ -5,8 +5,10 @@ host is aligned with it by simple tree matching: the largest order-preserving ma
 from the matches of child lists.  A matched node fills the reference node's slot.  Over all pages of the host, the
 texts of a slot are counted; a slot whose commonest text has at least 90 % of eight or more pages is constant,
 hence template.  What varies is content, unless the slot's role says otherwise (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments; by element, role attribute and class or id words).  On a page with an article element the
-content lies in it, and there nothing is dropped as constant: an article may repeat on many pages.
+adverts, forms, reader comments; by element, role attribute and class or id words).  On a page with an article or main element the
+content lies in it.  There the number of like siblings varies and shifts slots, so a text counts wherever in the element it
+stands: one that 90 % of the host's eight or more such pages hold is template.  Only where such texts
+make up over half of all text there are they kept: then the pages are copies of one article.
 
 Three passes over the pages, all narrow but one join of the per-host wrapper: a minimum per host, then counts of
 slot texts (combined per batch, then by Spark, before any shuffle), then extraction.  The wrapper goes to the pages by
@@ -37,6 +39,8 @@ from glyphmill.llm.scratch import Scratch
 from glyphmill.llm.urls import host_path
 
 CONSTANT_PERCENT, LEAST_PAGES = 90, 8
+#: In place of a slot: a text inside an article or main element, the pages that have any, and their characters.
+WITHIN, PAGES, CHARS = -1, -2, -3
 
 #: Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -288,14 +292,39 @@ def slot_texts(page: Node, reference: Node) -> list[tuple[int, int]]:
     return out
 
 
-def extract(page: Node, reference: Node | None, constant: frozenset[int]) -> str:
-    """The page's content blocks, one a line."""
-    articles = _tops(page, lambda n: n.tag == "article") or _tops(page, lambda n: n.tag == "main")
+def inside_texts(page: Node) -> dict[int, int]:
+    """Hash and length of the distinct own texts inside the page's article or main elements."""
+    out, todo = {}, list(_articles(page))
+    while todo:
+        n = todo.pop()
+        if n.boiler:
+            continue
+        if n.text:
+            out[_text_hash(n.text)] = len(n.text)
+        todo += _nodes(n)
+    return out
+
+
+def _articles(page: Node) -> list[Node]:
+    return _tops(page, lambda n: n.tag == "article") or _tops(page, lambda n: n.tag == "main")
+
+
+def extract(page: Node, reference: Node | None, constant: frozenset[int], within: frozenset[int] = frozenset()) -> str:
+    """The page's content blocks, one a line; within: hashes of the host's constant texts inside articles."""
+    articles = _articles(page)
     drop = set()
-    if not articles and constant and reference is not None:
+    if articles and within:
+        todo = list(articles)
+        while todo:
+            n = todo.pop()
+            if n.text and _text_hash(n.text) in within:
+                drop.add(id(n))
+            todo += _nodes(n)
+    elif not articles and constant and reference is not None:
         drop = {i for i, s in align(page, reference).items() if s in constant}
-    text = "\n".join(_blocks(articles or [page], drop))
-    return text if text or not drop else "\n".join(_blocks([page], set()))
+    tops = articles or [page]
+    text = "\n".join(_blocks(tops, drop))
+    return text if text or not drop else "\n".join(_blocks(tops, set()))
 
 
 def _tops(page: Node, wanted) -> list[Node]:
@@ -328,7 +357,8 @@ def _rows(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
 
 
 def induce(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """A wrapper per host: host, shape (of the reference tree), constant (its constant slots)."""
+    """A wrapper per host: host, shape (of the reference tree), constant (its constant slots), within (hashes of the
+    constant texts inside articles)."""
     rows = _rows(df, id_col, url_col, html_col)
     first = scratch.keep("first", rows.groupBy("_host").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL"))
     few = first.count() * 64 <= broadcast_bytes
@@ -349,15 +379,27 @@ def induce(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: st
             for host, source, shape in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if host not in trees:
                     trees[host] = shape_tree(shape)
-                found.update((host, *x) for x in slot_texts(parse(source or ""), trees[host]))
-            keys = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int64()), pa.array(found.values(), pa.int64())], names=["host", "slot", "text", "n"])
+                page = parse(source or "")
+                found.update((host, *x, 0) for x in slot_texts(page, trees[host]))
+                if inside := inside_texts(page):
+                    found.update((host, WITHIN, *x) for x in inside.items())
+                    found[host, PAGES, 0, 0] += 1
+                    found[host, CHARS, 0, 0] += sum(inside.values())
+            keys = list(zip(*found, strict=True)) or [[], [], [], []]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys, kinds), pa.array(found.values(), pa.int64())], names=["host", "slot", "text", "chars", "n"])
 
     with_ref = rows.join(F.broadcast(refs) if small else refs, F.col("_host") == F.col("host"))
-    each = with_ref.select("_host", "_html", "shape").mapInArrow(counts, "host string, slot bigint, text bigint, n bigint").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
-    slots = each.groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    each = with_ref.select("_host", "_html", "shape").mapInArrow(counts, "host string, slot bigint, text bigint, chars bigint, n bigint").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    each = scratch.keep("each", each)
+    slots = each.where("slot >= 0").groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
     constant = slots.where((F.col("all") >= LEAST_PAGES) & (F.col("most") * 100 >= F.col("all") * CONSTANT_PERCENT))
-    return scratch.keep("wrapper", refs.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant")), "host", "left"))
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
+    of = lambda slot: F.sum(F.when(F.col("slot") == slot, F.col("n")))
+    totals = each.where(F.col("slot") < WITHIN).groupBy("host").agg(of(PAGES).alias("pages"), of(CHARS).alias("all")).where(F.col("pages") >= LEAST_PAGES)
+    same = each.where((F.col("slot") == WITHIN) & (F.col("n") >= LEAST_PAGES * CONSTANT_PERCENT // 100)).join(totals, "host").where(F.col("n") * 100 >= F.col("pages") * CONSTANT_PERCENT)
+    within = same.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("within"), F.sum(F.col("n") * F.col("chars")).alias("same"), F.first("all").alias("all")).where("2 * same <= all").select("host", "within")
+    return scratch.keep("wrapper", refs.join(constant, "host", "left").join(within, "host", "left"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -365,19 +407,19 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     scratch = Scratch(df.sparkSession, "html")
     rows = _rows(df, id_col, url_col, html_col)
     wrapper = induce(df, scratch, id_col, url_col, html_col, broadcast_bytes)
-    size = wrapper.agg(F.coalesce(F.sum(F.length("shape") + 8 * F.greatest(F.size("constant"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    size = wrapper.agg(F.coalesce(F.sum(F.length("shape") + 8 * F.greatest(F.size("constant"), F.lit(0)) + 8 * F.greatest(F.size("within"), F.lit(0)) + 64), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trees: dict[str, Node] = {}
             texts = []
-            for source, shape, constant in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+            for source, shape, constant, within in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
                 if shape and constant and shape not in trees:
                     trees[shape] = shape_tree(shape)
-                texts.append(extract(parse(source or ""), trees.get(shape), frozenset(constant or ())))
+                texts.append(extract(parse(source or ""), trees.get(shape), frozenset(constant or ()), frozenset(within or ())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_id", "_url", "text", "n_chars"])
 
     joined = rows.join(F.broadcast(wrapper) if size <= broadcast_bytes else wrapper, F.col("_host") == F.col("host"), "left")
     kind = rows.schema["_id"].dataType.simpleString()
-    out = joined.select("_id", "_url", "_html", "shape", "constant").mapInArrow(run, f"_id {kind}, _url string, text string, n_chars bigint")
+    out = joined.select("_id", "_url", "_html", "shape", "constant", "within").mapInArrow(run, f"_id {kind}, _url string, text string, n_chars bigint")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias("url"), "text", "n_chars")

@@ -129,6 +129,21 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_html_constant_texts_inside_articles(spark):
+    rows = []
+    for tag, host in (("article", "a"), ("main", "m")):
+        for i in range(12):  # a varying number of like siblings around the notice
+            story = "".join(f"<p>Story {host} {i} part {j} tells much more of it</p>" for j in range(2 + i % 4))
+            rows.append((len(rows), f"http://{host}/{i}", f"<body><{tag}>{story}<p>Call us now</p><div class='zz'><h2>Join in</h2></div></{tag}></body>"))
+    rows += [(100 + i, f"http://copies/{i}", "<body><article><p>One article</p><p>on many pages</p></article>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (64 << 20, 0):
+        got = {r.page_id: r.text for r in html.main_text(df, broadcast_bytes=size).collect()}
+        for n, host in ((0, "a"), (12, "m")):
+            assert all(got[n + i] == "\n".join(f"Story {host} {i} part {j} tells much more of it" for j in range(2 + i % 4)) for i in range(12))
+        assert all(got[100 + i] == "One article\non many pages" for i in range(12))
+
+
 def test_deep_and_odd_trees():
     deep = html.parse("<div>" * 30_000 + "end")
     assert html.extract(deep, html.shape_tree(html.shape_text(deep)), frozenset([1])) == "end"
