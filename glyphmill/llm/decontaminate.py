@@ -3,8 +3,11 @@
 A passage of a document is a leak of a benchmark item if its words (folded: A-Z lower, punctuation dropped) are
 within ``floor(0.2 * words of the item)`` insertions, deletions and substitutions of the whole item.
 
-An item of 2w - 1 words or more, lying anywhere in a document, covers one of the document's consecutive windows of w words.  Windows
-are embedded by CGK: at step j the walk writes the word it stands on, and a random bit of (j, word) says whether it
+Windows follow from the item's length (``CLASSES``).  From 30 words on, an item lying anywhere in a document covers three or more of its
+consecutive windows of 8 words; from 15 on, windows are of 4 words, so that at the full tolerance one of them has at most one edit;
+shorter items allow one or two edits and meet overlapping windows.  Items under 5 words allow none: they are sought by a hash of all their words.
+
+Windows are embedded by CGK: at step j the walk writes the word it stands on, and a random bit of (j, word) says whether it
 moves on, so a few edits become a few changed places.  It is followed for 3w / 2
 steps, in which it rarely leaves the window; a sample that has left it makes no key.  Every table samples some places; a document's window
 meets an item's windows (taken at every offset) that wrote the same words there.  The number of tables follows from the target recall.
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm import words
 
 TOLERANCE = 0.2
-WIDTHS = (8, 4, 2, 1)
+EXACT = 5  # items of fewer words allow no edit
+#: From so many words of an item on: the width of its windows, the stride of a document's windows, and walks (None: by the plan).
+CLASSES = ((30, 8, 8, None), (15, 4, 4, None), (10, 4, 2, None), (EXACT, 2, 1, None))
 
 
 def tables_needed(recall: float, agreement: float, places: int) -> int:
@@ -105,18 +110,19 @@ class Item:
 class Tables:
     """The LSH tables of the items of one window width."""
 
-    def __init__(self, items: list[Item], width: int, plan: Plan):
-        self.items, self.w, self.plan = items, width, plan
+    def __init__(self, items: list[Item], width: int, stride: int, walks: int | None, plan: Plan):
+        self.items, self.w, self.stride, self.plan = items, width, stride, plan
+        walks = walks or plan.walks
         rng = np.random.default_rng(plan.seed + width)
         self.steps = -(-3 * width // 2)
-        self.odd = rng.integers(0, 2**63, (plan.walks, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.odd = rng.integers(0, 2**63, (walks, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         places = min(plan.places, self.steps)
-        self.samples = [[np.sort(rng.choice(self.steps, places, replace=False)) for _ in range(plan.tables_a_walk)] for _ in range(plan.walks)]
+        self.samples = [[np.sort(rng.choice(self.steps, places, replace=False)) for _ in range(plan.tables_a_walk)] for _ in range(walks)]
         rows = [(i, o) for i, it in enumerate(items) for o in range(it.n - width + 1)]
         self.item, self.offset = np.array(rows, np.int64).T
         grams = self.grams = np.stack([items[i].h[o : o + width] for i, o in rows])
-        # an item covers so many windows; its best one has at most their share of the allowed edits, so the rest of its words
-        self.need = np.array([width - min(it.k // max(1, (it.n - width + 1) // width), width - min(2, width)) for it in items])
+        # an item covers so many windows, if all edits are deletions; its best one has at most their share of the allowed edits, so the rest of its words
+        self.need = np.array([width - min(it.k // max(1, (it.n - it.k - width + 1) // width), width - min(2, width)) for it in items])
         self.bits = max(16, min(24, int(len(rows) * 64).bit_length()))
         self.tables = []
         for keys, inside in self.keys(grams):
@@ -165,24 +171,48 @@ class Tables:
                 yield x[near], y[near]
 
 
+class Exact:
+    """Items too short for any edit, by a hash of all their words."""
+
+    def __init__(self, items: list[Item]):
+        self.by: dict[int, dict[int, list[Item]]] = {}
+        for it in items:
+            self.by.setdefault(it.n, {}).setdefault(int(words.windows(it.h, it.n)[0]), []).append(it)
+        self.known = {n: np.array(sorted(own), np.uint64) for n, own in self.by.items()}
+
+    def scan(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, Item, int, int, int]]:
+        for n, own in self.by.items():
+            keys = words.windows(h, n)
+            found: set[tuple[int, int]] = set()
+            for i in np.flatnonzero(np.isin(keys, self.known[n])).tolist():
+                row = int(np.searchsorted(at, i, "right")) - 1
+                if i + n > at[row + 1] or (row, int(keys[i])) in found:  # over the row's end, or not the first place
+                    continue
+                found.add((row, int(keys[i])))
+                for it in own[int(keys[i])]:
+                    yield row, it, 0, i - int(at[row]), i + n - int(at[row])
+
+
 class Scanner:
     def __init__(self, items: list[tuple[int, np.ndarray]], plan: Plan):
         by: dict[int, list[Item]] = {}
         for key, h in items:
             if len(h):
-                by.setdefault(next(w for w in WIDTHS if 2 * w - 1 <= len(h)), []).append(Item(key, h))
-        self.tables = [Tables(own, w, plan) for w, own in sorted(by.items(), reverse=True)]
+                by.setdefault(next((c for c in CLASSES if c[0] <= len(h)), ()), []).append(Item(key, h))
+        self.exact = Exact(by.pop((), []))
+        self.tables = [Tables(own, *c[1:], plan) for c, own in sorted(by.items(), key=lambda x: x[0][0], reverse=True)]
 
     def scan(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, Item, int, int, int]]:
         """(row, item, distance, start, end) for rows whose words are h[at[row]:at[row + 1]]; the best place of each item."""
+        yield from self.exact.scan(h, at)
         sizes = np.diff(at)
         for t in self.tables:
             w = t.w
-            n = -(-sizes // w)
+            n = -(-sizes // t.stride)
             if not n.sum():
                 continue
             row = np.repeat(np.arange(len(n)), n)
-            start = at[:-1][row] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * w
+            start = at[:-1][row] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * t.stride
             place = start[:, None] + np.arange(w)
             grams = np.where(place < at[1:][row][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
             found = [(start[a] - t.offset[b] - at[:-1][row[a]], row[a], t.item[b]) for a, b in t.meetings(grams)]

@@ -102,6 +102,23 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 7, 9, 10, 12, 15, 16, 19, 20, 24, 25, 29, 30, 39])
+def test_recall_at_the_full_tolerance(n):
+    rng = random.Random(n)
+    for kind in ("change", "delete", "insert"):
+        items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(400)]
+        texts = []
+        for item in items:
+            t = list(item)
+            for p in sorted(rng.sample(range(n), n // 5), reverse=True):
+                t[p : p + (kind != "insert")] = [] if kind == "delete" else [f"q{rng.randrange(10**6)}"]
+            texts.append(" ".join([f"z{rng.randrange(3000)}" for _ in range(rng.randrange(30))] + t + ["end"] * 12))
+        _, h, at = next(words.hashed([" ".join(i) for i in items], words.ALNUM))
+        scanner = decontaminate.Scanner([(i, h[at[i] : at[i + 1]]) for i in range(400)], decontaminate.Plan())
+        found = {(r, it.key) for r, it, *_ in decontaminate._hits(scanner, texts)}
+        assert sum((i, i) in found for i in range(400)) >= 0.99 * 400, kind
+
+
 def test_licenses(spark):
     rows = [(1, None), (2, ""), (3, "MIT license; mit-LICENSE mit license"), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, "summit license apache  license"),
             (7, "Copyright (c) 2020 Jo. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction"),
