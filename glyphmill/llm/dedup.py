@@ -16,9 +16,9 @@ A document's set holds the hashes of its distinct 5-word shingles; its sketch is
    pair by pair, where the places of the shared element in both differences leave room for the overlap; otherwise step 3 runs on them, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
 5. Components come from alternating large-star and small-star steps on the links, in written tables.
 
-What can be lost: a pair at the limit shares need = 0.6 k of the k smallest values of its union unless a binomial
-with k = 64 and p = 0.85 falls below 39, which has a chance under one in a million.  Sets of at most 0.85 k shingles
-are compared through whole sets, where nothing is lost.  Steps 3 and 4 lose nothing else.
+What can be lost: a pair at the limit p shares need = share k of the k smallest values of its union unless a binomial
+with k and p falls below that, which has a chance under one in a million (k = 64: 39 for p = 0.85, 34 for 0.80).  Sets of at
+most p k shingles are compared through whole sets, where nothing is lost.  Steps 3 and 4 lose nothing else.
 
 Null or empty text: empty set, linked with nothing.  Null ids: kept as rows of their own, with a null component.  Rows that
 repeat an id count as one document: they share a component.  Empty tables give empty results; columns
@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,36 @@ from glyphmill.llm import words
 from glyphmill.llm.scratch import Scratch
 
 SHINGLE, K, JACCARD_PERCENT = 5, 64, 85
-NEED = 0.6
+MISSED = 1e-6
 LEVELS = 6
 PAIRS_A_MEMBER = 40
 
 
+@dataclass(frozen=True)
+class Limit:
+    """What follows from the similarity asked for and the size of sketches."""
+
+    percent: int = JACCARD_PERCENT
+    k: int = K
+
+    def __post_init__(self):
+        if not 0 < self.percent < 100:
+            raise ValueError(f"the similarity must lie between 0 and 100 %: {self.percent}")
+
+    @property
+    def tau(self) -> float:
+        """Similar sets differ in at most tau * (sum of sizes) elements."""
+        return (100 - self.percent) / (100 + self.percent)
+
+    @cached_property
+    def share(self) -> float:
+        """The share of the union's sketch, in hundredths, that a pair at the limit falls short of with a chance under MISSED."""
+        p, below, m = self.percent / 100, 0.0, 0
+        while (below := below + math.comb(self.k, m) * p**m * (1 - p) ** (self.k - m)) < MISSED:
+            m += 1
+        return 100 * m // self.k / 100
+
+
 def shingle_set(h: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes (as signed longs) of the shingles of a document's word hashes."""
     if not len(h):
@@ -98,21 +125,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = new
 
 
-TAU = (100 - JACCARD_PERCENT) / (100 + JACCARD_PERCENT)  # similar sets differ in at most TAU * (sum of sizes) elements
-
-
-def _prefixes(classes: DataFrame, k: int) -> DataFrame:
+def _prefixes(classes: DataFrame, limit: Limit) -> DataFrame:
     """Entries (rep, n, score, v) of the lists of values that similar sketches must share one of; score: how common the
     values of the whole sketch are."""
     n, size = F.col("n"), F.size("sketch")
-    need = F.when(n <= int(k * JACCARD_PERCENT / 100), F.ceil(n * JACCARD_PERCENT / 100)).otherwise(F.ceil(size * NEED))
+    need = F.when(n <= limit.k * limit.percent // 100, F.ceil(n * limit.percent / 100)).otherwise(F.ceil(size * limit.share))
     entries = classes.select("rep", size.alias("size"), need.alias("need"), "n", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     common = entries.join(shared, "v").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("c"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("n").alias("n"), F.sum(F.log("df")).alias("logs")
     )  # at most k entries a class
     take = (F.col("size") - F.col("need") + 1 - (F.col("size") - F.size("c"))).cast("int")  # values of one class come first
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / JACCARD_PERCENT))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / limit.percent))
     rows = common.where(take > 0).select("rep", "n", (F.col("logs") / F.col("size")).alias("score"), F.explode(F.slice("c", F.lit(1), take)).alias("x"), band.alias("band"))
     keys = F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))
     return rows.select("rep", "n", "score", F.explode(keys).alias("v"), F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(0).alias("size"), F.lit(0).alias("pos"))
@@ -131,33 +155,33 @@ def _split(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(heads.select("v", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "v")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, full: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, full: DataFrame, scratch: Scratch, limit: Limit) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, as (u, v)."""
     s = classes.select("rep", "sketch")
     near = pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, limit.k)
     near = near.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("i"))
-    near = scratch.keep("near", near.where(F.col("i") >= NEED * F.col("u") - 1).select("a", "b"))
+    near = scratch.keep("near", near.where(F.col("i") >= limit.share * F.col("u") - 1).select("a", "b"))
     both = near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
     inter = F.size(F.array_intersect("fa", "fb"))
     both = both.select("a", "b", inter.alias("i"), (F.size("fa") + F.size("fb") - inter).alias("u"))
-    links = both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * JACCARD_PERCENT)
+    links = both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * limit.percent)
     links = scratch.keep("links", links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     scratch.drop("near")
     return links
 
 
-def _sublists(split: DataFrame, full: DataFrame) -> DataFrame:
+def _sublists(split: DataFrame, full: DataFrame, limit: Limit) -> DataFrame:
     """New lists (step 4) of the members of split lists, keyed by hub and an element of the difference to it."""
     m = split.where("rep <> hub").select("hub", "rep", "n", "score").distinct()
     rows = m.join(full.select(F.col("id").alias("rep"), F.col("full").alias("fx")), "rep").join(full.select(F.col("id").alias("hub"), F.col("full").alias("fh")), "hub")
     delta = F.concat(F.array_except("fx", "fh"), F.array_except("fh", "fx"))
     rows = rows.select("hub", "rep", "n", "score", F.size("fh").alias("nh"), delta.alias("d")).withColumn("size", F.size("d"))
-    linked = F.col("size") <= TAU * (F.col("n") + F.col("nh")) + 1e-9
+    linked = F.col("size") <= limit.tau * (F.col("n") + F.col("nh")) + 1e-9
     # two that are not linked, or x linked and y not: either way x holds at least this much of the overlap
-    half = F.ceil(F.col("size") * (1 - TAU) / 2 - 1e-9)
+    half = F.ceil(F.col("size") * (1 - limit.tau) / 2 - 1e-9)
     # in any pair, for the partner's difference holds the overlap and the sizes of the two sets are close
-    rest = F.ceil(F.col("size") - TAU * (1 + 100 / JACCARD_PERCENT) * F.col("n") - 1e-9)
+    rest = F.ceil(F.col("size") - limit.tau * (1 + 100 / limit.percent) * F.col("n") - 1e-9)
     half, rest = F.greatest(F.lit(1), half), F.greatest(F.lit(1), rest)
     rows = rows.select("hub", "rep", "n", "score", "size", linked.alias("linked"), F.greatest(half, rest).alias("half"), F.when(linked, half).otherwise(rest).alias("need"), F.explode("d").alias("e"))
     shared = rows.groupBy("hub", "e").agg(F.count("*").alias("df")).where("df > 1")
@@ -169,8 +193,9 @@ def _sublists(split: DataFrame, full: DataFrame) -> DataFrame:
     return rows.select("rep", "n", "score", F.xxhash64("hub", "x.e").alias("v"), "linked", (F.col("i") < F.col("h")).alias("short"), "size", (F.col("alone") + F.col("i")).alias("pos"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, broadcast_rows: int = 500_000) -> DataFrame:
-    """id, n_shingles, component_id, kept: see the module.  Ids are integers."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, broadcast_rows: int = 500_000, percent: int = JACCARD_PERCENT) -> DataFrame:
+    """id, n_shingles, component_id, kept: see the module; percent is the least Jaccard similarity.  Ids are integers."""
+    limit = Limit(percent, k)
     spark = df.sparkSession
     scratch = Scratch(spark, "dedup")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -183,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     twice = filled.where("id IS NOT NULL").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v")
     links = scratch.keep("twice", twice.select("u", "v"))
     comp = None if links.isEmpty() else components(links, scratch)
-    lists = scratch.keep("lists", _prefixes(classes, k))
+    lists = scratch.keep("lists", _prefixes(classes, limit))
     split = scratch.keep("split", _split(lists, comp))
     if not split.isEmpty():
         ids = scratch.keep("ids", split.select(F.col("rep").alias("wanted")).distinct())
@@ -204,12 +229,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x, y = (split.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short", "n", "size", "pos")]) for i in "xy")
             roles = (F.col("linkedx") != F.col("linkedy")) | (~F.col("linkedx") & F.col("shortx") & F.col("shorty"))
             # the first element that two differences share leaves room for the overlap they need; sizes are close, too
-            overlap = F.col("sizex") + F.col("sizey") - TAU * (F.col("nx") + F.col("ny"))
+            overlap = F.col("sizex") + F.col("sizey") - limit.tau * (F.col("nx") + F.col("ny"))
             room = F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy"))
-            may = (2 * room >= overlap - 1e-9) & (100 * F.least("nx", "ny") >= JACCARD_PERCENT * F.greatest("nx", "ny"))
+            may = (2 * room >= overlap - 1e-9) & (100 * F.least("nx", "ny") >= limit.percent * F.greatest("nx", "ny"))
             pairs = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles & may)
             pairs = pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
-        new = _links(pairs, classes, full, scratch, k)
+        new = _links(pairs, classes, full, scratch, limit)
         if not new.isEmpty():
             links = links.union(new)
             comp = components(links, scratch)
@@ -218,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = scratch.keep("left", _split(split.select("rep", "n", "score", "v", "linked", "short"), comp))
         if left.isEmpty():
             break
-        split = scratch.keep("split", _split(_sublists(left, full), comp))
+        split = scratch.keep("split", _split(_sublists(left, full, limit), comp))
     scratch.drop("lists", "split", "left", "ids", "full", "links", "twice")  # the result reads rows, classes and components
     sets = classes.select("h1", "h2", "n", "rep")
     if comp is not None:

@@ -41,5 +41,15 @@ def test_nothing_is_lost_without_an_id(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, df, "").count() == 3
 
 
+def test_near_copies_from_eighty_percent_on(spark):
+    base = prose(rng, 150, 9000)
+    texts = [base, [f"x{i}" if i in (30, 70, 110) else w for i, w in enumerate(base)], [f"y{i}" if i in (20, 50, 80, 110) else w for i, w in enumerate(base)]]
+    sets = [{tuple(t[j : j + 5]) for j in range(146)} for t in texts]
+    like = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.80 <= like[1] < 0.85 and like[2] < 0.80
+    df = spark.createDataFrame([(i, " ".join(t), 5) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {0, 2}
+
+
 def test_marks():
     assert quality.PRODUCTION.mask & quality.BASE.mask == quality.BASE.mask and secrets.most(3.0) > secrets.most(4.0)

@@ -1,5 +1,6 @@
 """Near-duplicates, decontamination, licenses, HTML and tokenizers against brute force and the libraries."""
 
+import math
 import random
 import re
 
@@ -52,6 +53,35 @@ def test_near_duplicates(spark):
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [70, 80])
+def test_near_duplicates_of_another_similarity(spark, percent):
+    rng = random.Random(8)
+    rows = [(i, " ".join(prose(rng, n))) for i, n in enumerate([6, 30, 60, 150])]
+    for i in range(4, 70):
+        t = rows[i % 4][1].split()
+        for _ in range(rng.randrange(2 + len(t) // 30)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(t[rng.randrange(3) :])))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    want = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= percent * len(x | y):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert want != {i: root for i, (_, root) in brute_components(rows).items()}
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == want
+
+
+def test_bounds_follow_from_the_similarity():
+    assert [dedup.Limit(p).share for p in (85, 80)] == [0.6, 0.53]
+    for p in (70, 80, 85, 95):
+        limit = dedup.Limit(p)
+        m = int(np.ceil(limit.share * limit.k))
+        assert sum(math.comb(limit.k, i) * (p / 100) ** i * (1 - p / 100) ** (limit.k - i) for i in range(m)) < 1e-6
+
+
 def test_near_duplicates_with_odd_ids(spark):
     text = " ".join(prose(random.Random(1), 80))
     df = spark.createDataFrame([(None, text), (None, None), (5, text), (5, text), (7, text), (5, "other words of the same id")], "doc_id long, text string")
