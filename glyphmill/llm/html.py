@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction.
 
-Every page is parsed to a tree of block nodes.  Each host has a reference page (the smallest id), and each page of the
-host is aligned with it by simple tree matching: the largest order-preserving match of the two trees, computed
+Every page is parsed to a tree of block nodes.  Each host has a reference page: of up to ``CANDIDATES`` pages with some html, drawn by
+hashes of their ids, the one whose tree is most like the others'.  Each page of the host is aligned with it by simple tree matching: the largest order-preserving match of the two trees, computed
 from the matches of child lists.  A matched node fills the reference node's slot.  Over all pages of the host, the
 texts of a slot are counted; a slot whose commonest text has at least 90 % of eight or more pages is constant,
 hence template.  What varies is content, unless the slot's role says otherwise (menus, headers, footers, sidebars, notices,
@@ -10,12 +10,12 @@ content lies in it.  There the number of like siblings varies and shifts slots,
 stands: one that 90 % of the host's eight or more such pages hold is template.  Only where such texts
 make up over half of all text there are they kept: then the pages are copies of one article.
 
-Three passes over the pages, all narrow but one join of the per-host wrapper: a minimum per host, then counts of
+Three passes over the pages, all narrow but one join of the per-host wrapper: minima per host, then counts of
 slot texts (combined per batch, then by Spark, before any shuffle), then extraction.  The wrapper goes to the pages by
 broadcast if its size, measured, is under ``broadcast_bytes``, otherwise by a join in which AQE may split a hot host.
 
-Nodes deeper than ``DEEPEST`` levels are not aligned, so they stay content; two child lists whose table would have over
-``WIDEST`` squared cells are aligned in order.
+Depth and width have no bound: trees are walked without recursion, and two child lists whose table would have over
+``WIDEST`` squared cells are aligned by halves (Hirschberg), which needs little memory and gives a largest match as well.
 
 Null html: empty text.  Null urls share the empty host.  Null ids never serve as reference; a host without one has no
 constant slots.  Repeated rows give equal texts; an empty table gives an empty result; columns
@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +67,12 @@ PLAIN = str.maketrans("(),", "___")
 
 class Node:
     """A block element: its tag, whether its role is boilerplate, whether it lies in an article or main element, and
-    children that are nodes or texts; equal ``shape`` numbers mean equal trees of tags."""
+    children that are nodes or texts; equal ``shape`` numbers mean equal trees of tags, of ``size`` nodes."""
 
-    __slots__ = ("tag", "boiler", "inside", "children", "text", "shape")
+    __slots__ = ("tag", "boiler", "inside", "children", "text", "shape", "size")
 
     def __init__(self, tag: str, boiler: bool, inside: bool = False):
-        self.tag, self.boiler, self.inside, self.children, self.text, self.shape = tag, boiler, inside, [], "", -1
+        self.tag, self.boiler, self.inside, self.children, self.text, self.shape, self.size = tag, boiler, inside, [], "", -1, 1
 
 
 def _boiler(tag: str, attributes: str, inside_main: bool) -> bool:
@@ -179,6 +180,7 @@ def _finish(root: Node) -> None:
         todo += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
         n.text = " ".join(" ".join(entities.unescape(c).split()) for c in n.children if isinstance(c, str))
+        n.size = 1 + sum(c.size for c in n.children if isinstance(c, Node))
         n.shape = _shape(n.tag, tuple(c.shape for c in n.children if isinstance(c, Node)))
 
 
@@ -217,32 +219,123 @@ def shape_tree(shape: str) -> Node:
 
 
 _MATCHED: dict[tuple[int, int], int] = {}
-DEEPEST, WIDEST = 60, 400
+WIDEST, CANDIDATES = 400, 7
 
 
-def matching(a: Node, b: Node, depth: int = 0) -> int:
+def _bounded() -> None:
+    """Only between alignments: within one, what is known must stay."""
+    if len(_MATCHED) > 100_000:
+        _MATCHED.clear()
+
+
+def matching(a: Node, b: Node) -> int:
     """Simple tree matching: matched pairs of the largest order-preserving match whose roots have one tag."""
+    _bounded()
+    return _matching(a, b)
+
+
+def _matching(a: Node, b: Node) -> int:
     if a.tag != b.tag:
         return 0
-    key = (a.shape, b.shape)
-    if key not in _MATCHED:
-        if len(_MATCHED) > 100_000:
-            _MATCHED.clear()
-        x, y = _nodes(a), _nodes(b)
-        _MATCHED[key] = 1 if not x or not y or depth > DEEPEST else 1 + _table(x, y, depth)[-1][-1]
-    return _MATCHED[key]
+    if a.shape == b.shape:
+        return a.size
+    todo = [] if (a.shape, b.shape) in _MATCHED else [(a, b, False)]
+    while todo:  # the pairs of children first
+        c, d, ready = todo.pop()
+        if (c.shape, d.shape) in _MATCHED:
+            continue
+        x, y = _nodes(c), _nodes(d)
+        if not x or not y:
+            _MATCHED[c.shape, d.shape] = 1
+        elif ready:
+            _MATCHED[c.shape, d.shape] = 1 + _largest(x, y)
+        else:
+            todo.append((c, d, True))
+            others = {n.shape: n for n in y}.values()
+            for e in {n.shape: n for n in x}.values():
+                todo += [(e, f, False) for f in others if e.tag == f.tag and e.shape != f.shape and (e.shape, f.shape) not in _MATCHED]
+    return _MATCHED[a.shape, b.shape]
+
+
+def _ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """Lengths of the equal beginnings and ends: some largest match pairs each of these with its like."""
+    n, i, j = min(len(x), len(y)), 0, 0
+    while i < n and x[i].shape == y[i].shape:
+        i += 1
+    while j < n - i and x[-1 - j].shape == y[-1 - j].shape:
+        j += 1
+    return i, j
+
+
+def _largest(x: list[Node], y: list[Node]) -> int:
+    i, j = _ends(x, y)
+    out = sum(n.size for n in (*x[:i], *x[len(x) - j :]))
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if not x or not y:
+        return out
+    return out + (int(_last_row(x, y)[-1]) if len(x) * len(y) > WIDEST else _table(x, y)[-1][-1])
+
+
+def _last_row(x: list[Node], y: list[Node]) -> np.ndarray:
+    """The largest matches of x with the beginnings of y."""
+    kinds: dict[int, int] = {}
+    at = np.array([kinds.setdefault(n.shape, len(kinds)) for n in y])
+    first = {n.shape: n for n in reversed(y)}
+    weights: dict[int, np.ndarray] = {}
+    row = np.zeros(len(y) + 1, np.int64)
+    for a in x:
+        if a.shape not in weights:
+            weights[a.shape] = np.array([_matching(a, first[k]) for k in kinds], np.int64)[at]
+        new = np.maximum(row[1:], row[:-1] + weights[a.shape])
+        row[1:] = np.maximum.accumulate(new)
+    return row
+
+
+def _wide(x: list[Node], y: list[Node]) -> Iterator[tuple[Node, Node]]:
+    """The pairs of a largest match of two child lists, in space of their lengths."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        i, j = _ends(x, y)
+        yield from zip(x[:i], y[:i], strict=True)
+        yield from zip(x[len(x) - j :], y[len(y) - j :], strict=True)
+        x, y = x[i : len(x) - j], y[i : len(y) - j]
+        if not x or not y:
+            continue
+        if len(x) * len(y) <= WIDEST * WIDEST:
+            yield from _traced(x, y)
+        elif len(x) == 1:
+            best = max(y, key=lambda b: _matching(x[0], b))
+            if _matching(x[0], best):
+                yield x[0], best
+        else:
+            half = len(x) // 2
+            cut = int(np.argmax(_last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(x[:half], y[:cut]), (x[half:], y[cut:])]
+
+
+def _traced(x: list[Node], y: list[Node]) -> Iterator[tuple[Node, Node]]:
+    m, i, j = _table(x, y), len(x), len(y)
+    while i and j:
+        if m[i][j] == m[i - 1][j]:
+            i -= 1
+        elif m[i][j] == m[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            yield x[i], y[j]
 
 
 def _nodes(n: Node) -> list[Node]:
     return [c for c in n.children if isinstance(c, Node)]
 
 
-def _table(x: list[Node], y: list[Node], depth: int) -> list[list[int]]:
+def _table(x: list[Node], y: list[Node]) -> list[list[int]]:
     m = [[0] * (len(y) + 1)]
     for a in x:
         row, above = [0], m[-1]
         for j, b in enumerate(y):
-            row.append(max(row[j], above[j + 1], above[j] + matching(a, b, depth + 1)))
+            row.append(max(row[j], above[j + 1], above[j] + _matching(a, b)))
         m.append(row)
     return m
 
@@ -254,29 +347,27 @@ def align(page: Node, reference: Node) -> dict[int, int]:
         n = todo.pop()
         number[id(n)] = len(number)
         todo += reversed(_nodes(n))
+    _bounded()
     slots = {}
-    pairs = [(page, reference, 0)] if page.tag == reference.tag else []
+    pairs = [(page, reference)] if page.tag == reference.tag else []
     while pairs:
-        a, b, depth = pairs.pop()
+        a, b = pairs.pop()
         slots[id(a)] = number[id(b)]
         x, y = _nodes(a), _nodes(b)
-        if not x or not y or depth > DEEPEST:
-            continue
-        if a.shape == b.shape or len(x) * len(y) > WIDEST * WIDEST:  # alike: each with its like; too wide a table: in order
-            pairs += [(c, d, depth + 1) for c, d in zip(x, y, strict=False) if c.tag == d.tag]
-            continue
-        m, i, j = _table(x, y, depth), len(x), len(y)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((x[i], y[j], depth + 1))
+        if a.shape == b.shape:  # alike: each with its like
+            pairs += zip(x, y, strict=True)
+        else:
+            pairs += _wide(x, y) if len(x) * len(y) > WIDEST * WIDEST else _traced(x, y)
     return slots
 
 
+def most_typical(shapes: list[str]) -> str:
+    """The shape most like the others: by matched nodes, as a share of the nodes of both trees."""
+    trees = [shape_tree(s) for s in shapes]
+    like = [sum(2 * matching(a, b) / (a.size + b.size) for b in trees) for a in trees]
+    return shapes[like.index(max(like))]
+
+
 def _text_hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -360,16 +451,27 @@ def induce(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: st
     """A wrapper per host: host, shape (of the reference tree), constant (its constant slots), within (hashes of the
     constant texts inside articles)."""
     rows = _rows(df, id_col, url_col, html_col)
-    first = scratch.keep("first", rows.groupBy("_host").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL"))
+    drawn = rows.where(F.col("_id").isNotNull() & (F.length(F.trim("_html")) > 0))
+    draws = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("_id")).alias("h"), F.col("_id").alias("i"))).alias(f"d{i}") for i in range(CANDIDATES)]
+    first = drawn.groupBy("_host").agg(*draws).select(F.col("_host").alias("_h"), F.explode(F.array_distinct(F.array(*[F.col(f"d{i}.i") for i in range(CANDIDATES)]))).alias("_first"))
+    first = scratch.keep("first", first)
     few = first.count() * 64 <= broadcast_bytes
-    first = first.select(F.col("_host").alias("_h"), "_first")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shape_text(parse(t.as_py() or "")) for t in b.column(1)], pa.string())], names=["host", "shape"])
+            found = [shape_text(parse(t.as_py() or "")) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["host", "id", "shape"])
 
-    own = rows.join(F.broadcast(first) if few else first, (F.col("_id") == F.col("_first")) & (F.col("_host") == F.col("_h")))
-    refs = scratch.keep("refs", own.select("_host", "_html").mapInArrow(shapes, "host string, shape string").groupBy("host").agg(F.min("shape").alias("shape")))
+    def typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([most_typical(x) for x in b.column(1).to_pylist()], pa.string())], names=["host", "shape"])
+
+    own = drawn.join(F.broadcast(first) if few else first, (F.col("_id") == F.col("_first")) & (F.col("_host") == F.col("_h")))
+    kind = rows.schema["_id"].dataType.simpleString()
+    # at most CANDIDATES shapes a host: a repeated id gives one
+    trees = own.select("_host", "_id", "_html").mapInArrow(shapes, f"host string, id {kind}, shape string").groupBy("host", "id").agg(F.min("shape").alias("shape"))
+    trees = trees.groupBy("host").agg(F.sort_array(F.collect_list("shape")).alias("shapes"))
+    refs = scratch.keep("refs", trees.mapInArrow(typical, "host string, shape string"))
     small = refs.agg(F.coalesce(F.sum(F.length("shape") + 64), F.lit(0))).first()[0] <= broadcast_bytes
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,28 @@ def test_tree_matching_is_largest():
     assert html.matching(a, b) == 1 + 2 + 1 + 1 == len(html.align(a, b))
 
 
+def test_wide_lists_and_deep_trees_are_aligned():
+    rng = random.Random(6)
+    wide = [rng.choice(["p", "h2", "ul(li,li)", "ul(li)", "div(p(b),p)"]) for _ in range(700)]
+    for more in (["h3"] + wide, wide[:300] + wide[340:] + ["h3", "p"], [x for x in wide if rng.random() < 0.8]):
+        a, b = (html.shape_tree(f"r({','.join(x)})") for x in (wide, more))
+        x, y = html._nodes(a), html._nodes(b)
+        assert html.matching(a, b) == 1 + html._table(x, y)[-1][-1] == len(html.align(a, b))
+    one, two = html.parse("<div>" * 200 + "<p>x"), html.parse("<div>" * 200 + "<h1>y</h1><p>z")
+    assert html.matching(one, two) == 202 == len(html.align(one, two))
+    page = html.parse("<h1>t</h1>" + "<p>a</p>" * 500 + "<table>end</table>")
+    reference = html.parse("<p>a</p>" * 500 + "<table>end</table>")
+    assert {html._text_hash("end")} == {t for slot, t in html.slot_texts(page, reference) if slot == 501}
+
+
+def test_the_reference_is_a_typical_page(spark):
+    rows = [(i, f"http://wrap/{i}", f"<body><div>Our site</div><div><p>Story {i}</p><p>Body {i}</p></div><div>Call us</div>") for i in range(12)]
+    for odd in (None, "", " ", "<h1>Error</h1>"):
+        df = spark.createDataFrame([(-1, "http://wrap/x", odd), *rows], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html.main_text(df).collect()}
+        assert all(got[i] == f"Story {i}\nBody {i}" for i in range(12)) and len(got) == 13
+
+
 def random_texts():
     rng = random.Random(9)
     return ["", " ", "  ", " a", "a" * 3000, " " * 700, "ab" * 900, "x" * 600 + " y"] + ["".join(rng.choices(SPICE, k=rng.randrange(60))) for _ in range(800)] + ["".join(rng.choices("abcde ", k=3000))]
