@@ -29,19 +29,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
-    Documents without an id cannot be told apart and stay; of rows that repeat an id one stays.
+    Documents without an id cannot be told apart and stay; of rows that repeat an id and a text one stays.  Different texts of one
+    id are documents of their own: all but one of them go by a number beyond all ids.
     """
     scratch = Scratch(spark, "pipeline-dedup")
-    found = scratch.keep("found", dedup.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"))
-    drop = scratch.keep("drop", found.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct())
+    columns, text_hash = docs.columns, F.xxhash64("text", F.col("text").isNull())
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"))
+    several = texts.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least <> _most")
+    several = scratch.keep("several", several.select("_id", "_least"))
+    docs = docs.withColumn("_near", F.col("doc_id").cast("long"))
+    if (n := several.count()) > 0:
+        top = texts.agg(F.max("_id")).first()[0]
+        more = texts.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "_id").where("_hash <> _least").select("_id", "_hash").distinct()
+        more = scratch.keep("more", more.select("_id", "_hash", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_number")))
+        docs = docs.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_hash")), "left")
+        docs = docs.withColumn("_near", F.coalesce("_number", "_near")).select(*[F.col(f"`{c}`") for c in columns], "_near")
+    found = scratch.keep("found", dedup.near_duplicates(docs, id_col="_near", percent=NEAR_PERCENT).select("_near", "kept"))
+    drop = scratch.keep("drop", found.where("NOT kept").select(F.col("_near").alias("_drop")).distinct())
     small = drop.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(drop) if small else drop, F.col("doc_id") == F.col("_drop"), "left_anti")
-    twice = scratch.keep("twice", found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"))
+    out = docs.join(F.broadcast(drop) if small else drop, F.col("_near") == F.col("_drop"), "left_anti")
+    twice = scratch.keep("twice", found.where("kept AND _near IS NOT NULL").groupBy(F.col("_near").alias("_twice")).count().where("count > 1").select("_twice"))
     if (n := twice.count()) == 0:
-        return out
+        return out.drop("_near")
     twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-    once = out.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.union(out.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = out.join(twice, F.col("_near") == F.col("_twice"), "left_anti")
+    return once.union(out.join(twice, F.col("_near") == F.col("_twice"), "left_semi").dropDuplicates(["_near"])).drop("_near")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,8 +231,8 @@ class Scanner:
                 yield r, t.items[i], *hit
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Hashed items, a block at a time."""
+def _blocks(items: DataFrame, id_col: str | None, text_col: str, block_items: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Hashed items, a block at a time; without a column of ids every item is taken, as number 0."""
     block: list[tuple[int, str]] = []
 
     def made() -> list[tuple[int, np.ndarray]]:
@@ -241,7 +241,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> I
             out += [(block[first + i][0], h[a:b]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
         return out
 
-    for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for r in items.select((F.col(id_col) if id_col else F.lit(0)).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
         block.append((r.i, r.t))
         if len(block) == block_items:
             yield made()
@@ -300,9 +300,9 @@ def leaks(
 
 
 def without_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", plan: Plan | None = None, block_items: int = 20_000) -> DataFrame:
-    """The rows of df, all columns, that leak no item."""
+    """The rows of df, all columns, that leak no item, with an id or without: item_id is not read."""
     schema, place = df.schema, df.columns.index(text_col)
-    for block in _blocks(items, item_id, item_text, block_items):
+    for block in _blocks(items, None, item_text, block_items):
         shared = _shared(df, block, plan or Plan())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

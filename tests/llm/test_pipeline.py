@@ -51,5 +51,15 @@ def test_near_copies_from_eighty_percent_on(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {0, 2}
 
 
+def test_texts_of_one_id_and_items_without_one(spark, tmp_path):
+    a, b, c, item = CLEAN[0][1], CLEAN[1][1], CLEAN[2][1], " ".join(prose(rng, 30, 9000))
+    rows = [(3, a, 1), (3, b, 1), (3, b, 1), (3, b + " tail", 1), (2, a, 1), (7, c, 1), (8, c + " " + item, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert [r for r in got if r[0] == 2] == [(2, a)] and [r[0] for r in got] == [2, 3, 7, 8] and got[1][1] in (b, b + " tail")
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()} == {2, 3, 7}
+
+
 def test_marks():
     assert quality.PRODUCTION.mask & quality.BASE.mask == quality.BASE.mask and secrets.most(3.0) > secrets.most(4.0)
