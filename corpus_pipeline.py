@@ -64,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts become a mark, and n_chars follows the text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    found = secrets.find_secrets(rows, "_row", "text")
+    found = secrets.find_secrets(rows, "_row", "text", cut=True)
     text = F.when(F.col("_row.text").isNotNull(), secrets.redacted(F.col("_text"), F.col("spans"))).alias("text")
     out = found.select("_row", text)
     own = {"text": F.col("text"), "n_chars": F.coalesce(F.when(F.col("text") != F.col("_row.text"), F.length("text").cast("long")), F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}

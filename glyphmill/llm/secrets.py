@@ -2,7 +2,7 @@
 
 Positions come from splitting a text at a pattern: pieces and matches alternate, so their lengths add up to places.
 Entropy: a candidate is a run of 20 or more token characters that no base span touches and no allow-list pattern
-takes.  A window of 20 characters slides over it; counts per character change by one in and one out, and with them
+takes; the pipeline also scans what base spans leave of a candidate.  A window of 20 characters slides over it; counts per character change by one in and one out, and with them
 the sum of c * log2(c) in fixed point, from which Shannon's entropy of the window follows.  A candidate of a class
 (hex, or mixed) is a span of kind ``entropy`` if any window reaches the class's threshold.
 
@@ -55,6 +55,7 @@ def most(threshold: float) -> int:
 
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+NONE = "cast(array() as array<struct<start:bigint,end:bigint,text:string>>)"
 FOUND = "struct<at:bigint,out:array<struct<start:bigint,end:bigint,text:string>>>"
 
 
@@ -112,8 +113,24 @@ def _secret(x: Column) -> Column:
     return F.transform(F.array(F.split(x["text"], "")), _least_sum)[0] <= limit
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """id, the columns named in carry, _text, and spans: array of (start, kind, end), sorted; kind is the place in KINDS."""
+def _rest(x: Column, base: Column) -> Column:
+    """The pieces of a candidate between the base spans (sorted), where long enough for a window."""
+
+    def add(s: Column, end: Column, at: Column) -> Column:
+        text = F.substring(x["text"], (s["at"] - x["start"] + 1).cast("int"), (end - s["at"]).cast("int"))
+        one = F.when(end - s["at"] >= WINDOW, F.array(F.struct(s["at"].alias("start"), end.alias("end"), text.alias("text"))))
+        return F.struct(at.alias("at"), F.concat(s["out"], F.coalesce(one, F.expr(NONE))).alias("out"))
+
+    start = F.struct(x["start"].alias("at"), F.expr(NONE).alias("out"))
+    over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.aggregate(over, start, lambda s, b: add(s, b["start"], F.greatest(s["at"], b["end"])), lambda s: add(s, x["end"], x["end"])["out"])
+
+
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, cut: bool = False) -> DataFrame:
+    """id, the columns named in carry, _text, and spans: array of (start, kind, end), sorted; kind is the place in KINDS.
+
+    A candidate that a base span touches is left out, as op2's SQL has it; with cut, what the base spans leave of it is scanned.
+    """
     carry = carry or []
     rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     extra = [f"_c{i}" for i in range(len(carry))]
@@ -139,10 +156,13 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _spans(_matches(F.col("_text"), F.col("_h"), HEX), 2),
         ).alias("_base"),
     )
-    fresh = F.filter(
-        _matches(F.col("_text"), F.col("_e"), CANDIDATE),
-        lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~allowed(x["text"]) & _secret(x),
-    )
+    candidates = _matches(F.col("_text"), F.col("_e"), CANDIDATE)
+    if cut:
+        base = F.sort_array("_base")
+        candidates = F.when(F.size("_base") > 0, F.flatten(F.transform(candidates, lambda x: _rest(x, base)))).otherwise(candidates)
+    else:
+        candidates = F.filter(candidates, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    fresh = F.filter(candidates, lambda x: ~allowed(x["text"]) & _secret(x))
     rows = rows.select("_id", *extra, "_text", F.sort_array(F.concat(F.col("_base"), _spans(fresh, 3))).cast(SPAN).alias("spans"))
     return rows.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "_text", "spans")
 

@@ -61,5 +61,15 @@ def test_texts_of_one_id_and_items_without_one(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()} == {2, 3, 7}
 
 
+def test_what_a_base_span_leaves_of_a_candidate(spark):
+    key = "aGk3Lq9ZpT2vXb7NsR4wYc8MdF6hJ1kQ5uW0eBzP"
+    rows = {1: f"see AKIA{'A1B2' * 4}/{key} end", 2: f"see {'0123456789abcdef' * 2}-{key}", 3: f"x {key}/AKIA{'A1B2' * 4}/{key} y", 4: f"AKIA{'A1B2' * 4}/short", 5: f"only {key}", 6: "nothing"}
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secret_scans(spark, df, "").collect()}
+    assert not any(key in t for t in got.values()) and got[4] == "[SECRET]/short" and got[6] == "nothing" and got[5] == "only [SECRET]"
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(df, cut=True).collect()}
+    assert [k for _, k, _ in spans[3]] == [3, 1, 3] and spans[1][0] == (4, 1, 24) and spans[1][1][1:] == (3, 4 + 20 + 1 + 40)
+
+
 def test_marks():
     assert quality.PRODUCTION.mask & quality.BASE.mask == quality.BASE.mask and secrets.most(3.0) > secrets.most(4.0)
