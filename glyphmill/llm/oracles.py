@@ -36,12 +36,17 @@ def _op2() -> str:
 
     windows = f"list_max(list_transform(range(1, length(word) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(word[i:i+{secrets.WINDOW - 1}], ''))))"
     allowed = " OR ".join(f"regexp_matches(word, {_q(p)})" for p in secrets.ALLOW)
+    path = f"regexp_matches(word, {_q(secrets.SEPARATOR)}) AND len(list_filter(string_split_regex(word, {_q(secrets.SEPARATOR)}), lambda p: NOT regexp_matches(p, {_q(secrets.PLAIN_PART)}))) = 0"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     found AS ({places(secrets.ASSIGN, 0, "d")} UNION ALL {places(secrets.ACCESS, 1, "d")} UNION ALL {places(secrets.HEX, 2, "d")} UNION ALL {places(secrets.CANDIDATE, 3, "d")}),
     base AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(word))::BIGINT AS b FROM found WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(word, {_q(secrets.ASSIGN)}, 2)) >= {secrets.MIN_ASSIGNED}),
-    more AS (SELECT doc_id, kind, a::BIGINT AS a, (a + length(word))::BIGINT AS b FROM found f WHERE kind = 3 AND NOT ({allowed})
-      AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = f.doc_id AND x.a < f.a + length(f.word) AND f.a < x.b)
+    run AS (SELECT doc_id, a::BIGINT AS a, (a + length(word))::BIGINT AS b, word FROM found WHERE kind = 3),
+    lo AS (SELECT DISTINCT f.doc_id, f.a AS f, f.b, f.word, unnest([f.a, x.b]) AS p FROM run f LEFT JOIN base x ON x.doc_id = f.doc_id AND x.a < f.b AND f.a < x.b),
+    free AS (SELECT * FROM lo WHERE p < b AND p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = lo.doc_id AND x.a <= lo.p AND lo.p < x.b)),
+    cut AS (SELECT free.doc_id, f, p, word, least(any_value(free.b), coalesce(min(x.a), any_value(free.b))) AS q FROM free LEFT JOIN base x ON x.doc_id = free.doc_id AND x.a >= p GROUP BY ALL),
+    piece AS (SELECT doc_id, p AS a, q AS b, word[p - f + 1:q - f] AS word FROM cut WHERE q - p >= {secrets.WINDOW}),
+    more AS (SELECT doc_id, 3 AS kind, a, b FROM piece WHERE NOT ({allowed} OR {path})
       AND {windows} >= CASE WHEN regexp_matches(word, {_q(secrets.HEX_CLASS)}) THEN {secrets.THRESHOLD["hex"]} ELSE {secrets.THRESHOLD["mixed"]} END),
     every_span AS (SELECT * FROM base UNION ALL SELECT * FROM more),
     named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || b AS s FROM every_span)

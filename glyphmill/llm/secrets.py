@@ -1,13 +1,15 @@
 """Secret scans: three fixed patterns, then sliding-window entropy over candidate strings.  Built-in functions only.
 
 Positions come from splitting a text at a pattern: pieces and matches alternate, so their lengths add up to places.
-Entropy: a candidate is a run of 20 or more token characters that no base span touches and no allow-list pattern
-takes; the pipeline also scans what base spans leave of a candidate.  A window of 20 characters slides over it; counts per character change by one in and one out, and with them
-the sum of c * log2(c) in fixed point, from which Shannon's entropy of the window follows.  A candidate of a class
-(hex, or mixed) is a span of kind ``entropy`` if any window reaches the class's threshold.
-
-Null text: as the empty text.  Rows are independent (no shuffle), repeated rows get the same spans, and columns other
-than id and text are not read.
+Entropy: base spans are blanked out first, so a candidate is a run of 20 or more token characters that no base span
+covers, and what a base span leaves of a longer run is a candidate of its own.  Candidates that an allow-list rule takes
+are dropped.  A window of 20 characters slides over the others; counts per character change by one in and one out, and with
+them the sum of c * log2(c) in fixed point, from which Shannon's entropy of the window follows.  A candidate of a class
+(hex, or mixed) is a span of kind ``entropy`` if any window reaches the class's threshold; the windows after it are not counted.
+
+Null text: as the empty text.  Rows are independent (no shuffle), repeated rows get the same spans, an empty table gives an
+empty result, and columns other than id, text and those to carry are not read.  Very long texts and candidates: no pattern repeats a
+group, so none recurses; sums over n matches take about n * ``STEP`` steps, and cutting a text at its spans reads it by blocks.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: Suppressed candidates: no digit or no letter, UUIDs, counting runs, and paths of plain words.
+#: Suppressed candidates: no digit or no letter, UUIDs, counting runs ...
 ALLOW = [
     "^[^0-9]*$",
     "^[^A-Za-z]*$",
-    "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
+    "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "0123456789|abcdefghij|ABCDEFGHIJ",
-    "^/?([A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}$",
 ]
+#: ... and paths of plain words: each part between separators is letters, then at most four digits.
+SEPARATOR, PLAIN_PART = "[/_=-]", "^[A-Za-z]*[0-9]{0,4}$"
 HEX_CLASS = "^[0-9A-Fa-f]+$"
 #: Bits of a window of 20 characters; 20 equally likely hex digits have about 3.4, 64 characters about 4.0.
 THRESHOLD = {"hex": 3.05, "mixed": 3.72}
@@ -55,33 +58,79 @@ def most(threshold: float) -> int:
 
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-NONE = "cast(array() as array<struct<start:bigint,end:bigint,text:string>>)"
-FOUND = "struct<at:bigint,out:array<struct<start:bigint,end:bigint,text:string>>>"
+NO_STRINGS = "cast(array() as array<string>)"
+#: Values summed one by one; longer arrays go by parts of this size.  Code points of a text that are cut at once.
+STEP, BLOCK = 256, 1 << 15
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda variable is a value, not an expression."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, join) -> Column:
+    """For each value (long), join over all earlier ones, from 0 on.  join: a sum or a maximum."""
+    zero = F.lit(0).cast("long")
+
+    def steps(part: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(part, none, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def by_parts(parts: Column) -> Column:
+        starts = steps(F.transform(parts, lambda q: F.aggregate(q, zero, join)), zero)
+        return F.flatten(F.zip_with(parts, starts, steps))
+
+    def of(v: Column) -> Column:
+        last = F.greatest(((F.size(v) - 1) / STEP).cast("int"), F.lit(0))
+        return _let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * STEP + 1, F.lit(STEP))), by_parts)
+
+    return _let(values, of)
 
 
 def _matches(text: Column, matches: Column, pattern: str) -> Column:
     """array of (start, end, text), in code points, end exclusive; text is not split where nothing matches."""
     pieces = F.split(text, pattern, -1)
+    pairs = F.filter(F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("match"))), lambda x: x["match"].isNotNull())
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("text")))
-        return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
+    def place(p: Column) -> Column:
+        before = _before(F.transform(p, lambda x: x["gap"] + x["n"]), lambda a, x: a + x)
+        return F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["match"].alias("text")))
 
-    pairs = F.filter(F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), lambda x: x["match"].isNotNull())
-    empty = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,text:string>>))")
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step, lambda s: s["out"])).otherwise(
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint,text:string>>)")
-    )
+    return F.when(F.size(matches) > 0, _let(pairs, place)).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,text:string>>)"))
+
+
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """The text with put(length) in place of each span (sorted); of a span that earlier ones cover in part, the rest counts."""
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        def one(k: Column) -> Column:
+            lo = F.greatest(a - k * BLOCK, F.lit(0).cast("long"))
+            return F.substring(F.get(blocks, k), (lo + 1).cast("int"), (F.least(b - k * BLOCK, F.lit(BLOCK).cast("long")) - lo).cast("int"))
+
+        first, last = (a / BLOCK).cast("int"), ((b - 1) / BLOCK).cast("int")
+        return F.when(a < b, F.array_join(F.transform(F.sequence(first, last), one), "")).otherwise("")
+
+    def of(blocks: Column) -> Column:
+        def pieces(before: Column) -> Column:
+            def piece(x: Column, at: Column) -> Column:
+                inside = x["start"] < at
+                return F.concat(cut(blocks, at, F.greatest(x["start"], at)), put(F.greatest(x["end"] - F.greatest(x["start"], at), F.lit(0).cast("long")), inside))
+
+            return F.array_join(F.zip_with(spans, before, piece), "")
+
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(_let(_before(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), pieces), cut(blocks, end, F.length(text).cast("long")))
+
+    blocks = F.transform(F.sequence(F.lit(0), ((F.length(text) - 1) / BLOCK).cast("int")), lambda k: F.substring(text, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(spans) > 0, _let(blocks, of)).otherwise(text)
 
 
 def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _least_sum(chars: Column) -> Column:
-    """Over all windows of WINDOW characters, the least sum of c * log2(c): the window of most entropy."""
+def _least_sum(chars: Column, limit: Column) -> Column:
+    """The least sum of c * log2(c) over the windows of WINDOW characters: the window of most entropy, or the first within the limit."""
     terms = F.array(*[F.lit(t).cast("long") for t in TERMS])
 
     def put(counts: Column, at: Column, by: int) -> Column:
@@ -102,67 +151,42 @@ def _least_sum(chars: Column) -> Column:
             best = F.when(i >= WINDOW - 1, F.least(state["best"], u["s"])).otherwise(state["best"])
             return F.struct(u["c"].alias("counts"), u["s"].alias("sum"), best.alias("best"))
 
-        return F.transform(F.transform(F.array(up), leave), close)[0]
+        return F.when(state["best"] <= limit, state).otherwise(F.transform(F.transform(F.array(up), leave), close)[0])
 
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 60).cast("long").alias("best"))
     return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["best"])
 
 
 def _secret(x: Column) -> Column:
-    limit = F.when(x["text"].rlike(HEX_CLASS), F.lit(most(THRESHOLD["hex"]))).otherwise(F.lit(most(THRESHOLD["mixed"])))
-    return F.transform(F.array(F.split(x["text"], "")), _least_sum)[0] <= limit
-
-
-def _rest(x: Column, base: Column) -> Column:
-    """The pieces of a candidate between the base spans (sorted), where long enough for a window."""
-
-    def add(s: Column, end: Column, at: Column) -> Column:
-        text = F.substring(x["text"], (s["at"] - x["start"] + 1).cast("int"), (end - s["at"]).cast("int"))
-        one = F.when(end - s["at"] >= WINDOW, F.array(F.struct(s["at"].alias("start"), end.alias("end"), text.alias("text"))))
-        return F.struct(at.alias("at"), F.concat(s["out"], F.coalesce(one, F.expr(NONE))).alias("out"))
+    limit = F.when(x["text"].rlike(HEX_CLASS), F.lit(most(THRESHOLD["hex"]))).otherwise(F.lit(most(THRESHOLD["mixed"]))).cast("long")
+    return _let(F.struct(F.split(x["text"], "").alias("chars"), limit.alias("limit")), lambda v: _least_sum(v["chars"], v["limit"]) <= v["limit"])
 
-    start = F.struct(x["start"].alias("at"), F.expr(NONE).alias("out"))
-    over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.aggregate(over, start, lambda s, b: add(s, b["start"], F.greatest(s["at"], b["end"])), lambda s: add(s, x["end"], x["end"])["out"])
 
+def _allowed(text: Column) -> Column:
+    path = text.rlike(SEPARATOR) & F.forall(F.split(text, SEPARATOR, -1), lambda p: p.rlike(PLAIN_PART))
+    return F.exists(F.array(*[text.rlike(p) for p in ALLOW]), lambda b: b) | path
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, cut: bool = False) -> DataFrame:
-    """id, the columns named in carry, _text, and spans: array of (start, kind, end), sorted; kind is the place in KINDS.
 
-    A candidate that a base span touches is left out, as op2's SQL has it; with cut, what the base spans leave of it is scanned.
-    """
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id, the columns named in carry, _text, and spans: array of (start, kind, end), sorted; kind is the place in KINDS."""
     carry = carry or []
     rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     extra = [f"_c{i}" for i in range(len(carry))]
-    allowed = lambda x: F.exists(F.array(*[x.rlike(p) for p in ALLOW]), lambda b: b)
+    none = F.expr(NO_STRINGS)
     rows = rows.select(
         "_id", *extra, "_text",
-        F.when(F.col("_text").rlike(KEYWORDS), F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")).alias("_a"),
-        F.when(F.contains("_text", F.lit("AKIA")), F.regexp_extract_all("_text", F.lit(ACCESS), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")).alias("_k"),
+        F.when(F.col("_text").rlike(KEYWORDS), F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(0))).otherwise(none).alias("_a"),
+        F.when(F.contains("_text", F.lit("AKIA")), F.regexp_extract_all("_text", F.lit(ACCESS), F.lit(0))).otherwise(none).alias("_k"),
         F.regexp_extract_all("_text", F.lit(f"({CANDIDATE})|({HEX})"), F.lit(0)).alias("_any"),
     )
-    none = F.expr("cast(array() as array<string>)")
-    rows = rows.select(
-        "_id", *extra, "_text", "_a", "_k",
-        F.when(F.size("_any") > 0, F.regexp_extract_all("_text", F.lit(HEX), F.lit(0))).otherwise(none).alias("_h"),
-        F.when(F.size("_any") > 0, F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none).alias("_e"),
-    )
+    rows = rows.select("_id", *extra, "_text", "_a", "_k", "_any", F.when(F.size("_any") > 0, F.regexp_extract_all("_text", F.lit(HEX), F.lit(0))).otherwise(none).alias("_h"))
     assigned = F.filter(_matches(F.col("_text"), F.col("_a"), ASSIGN), lambda x: F.length(F.regexp_extract(x["text"], ASSIGN, 2)) >= MIN_ASSIGNED)
-    rows = rows.select(
-        "_id", *extra, "_text", "_e",
-        F.concat(
-            _spans(assigned, 0),
-            _spans(_matches(F.col("_text"), F.col("_k"), ACCESS), 1),
-            _spans(_matches(F.col("_text"), F.col("_h"), HEX), 2),
-        ).alias("_base"),
-    )
-    candidates = _matches(F.col("_text"), F.col("_e"), CANDIDATE)
-    if cut:
-        base = F.sort_array("_base")
-        candidates = F.when(F.size("_base") > 0, F.flatten(F.transform(candidates, lambda x: _rest(x, base)))).otherwise(candidates)
-    else:
-        candidates = F.filter(candidates, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    fresh = F.filter(candidates, lambda x: ~allowed(x["text"]) & _secret(x))
+    base = F.concat(_spans(assigned, 0), _spans(_matches(F.col("_text"), F.col("_k"), ACCESS), 1), _spans(_matches(F.col("_text"), F.col("_h"), HEX), 2))
+    rows = rows.select("_id", *extra, "_text", "_any", F.sort_array(base).alias("_base"))
+    blank = _replaced(F.col("_text"), F.col("_base"), lambda n, inside: F.repeat(F.lit(" "), n.cast("int")))
+    rows = rows.select("_id", *extra, "_text", "_base", F.when(F.size("_any") > 0, blank).alias("_rest"))
+    rows = rows.select("_id", *extra, "_text", "_base", "_rest", F.when(F.col("_rest").isNotNull(), F.regexp_extract_all("_rest", F.lit(CANDIDATE), F.lit(0))).otherwise(none).alias("_e"))
+    fresh = F.filter(_matches(F.col("_rest"), F.col("_e"), CANDIDATE), lambda x: ~_allowed(x["text"]) & _secret(x))
     rows = rows.select("_id", *extra, "_text", F.sort_array(F.concat(F.col("_base"), _spans(fresh, 3))).cast(SPAN).alias("spans"))
     return rows.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "_text", "spans")
 
@@ -175,13 +199,4 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, overlapping ones as one, replaced by the mark."""
-
-    def step(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["at"]
-        gap = F.substring(text, (s["at"] + 1).cast("int"), (F.greatest(x["start"], s["at"]) - s["at"]).cast("int"))
-        put = F.when(inside, s["out"]).otherwise(F.concat(s["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), put.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return _replaced(text, spans, lambda n, inside: F.when(inside, "").otherwise(mark))

@@ -67,7 +67,7 @@ def test_what_a_base_span_leaves_of_a_candidate(spark):
     df = spark.createDataFrame([(i, t, 5) for i, t in rows.items()], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.secret_scans(spark, df, "").collect()}
     assert not any(key in t for t in got.values()) and got[4] == "[SECRET]/short" and got[6] == "nothing" and got[5] == "only [SECRET]"
-    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(df, cut=True).collect()}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(df).collect()}
     assert [k for _, k, _ in spans[3]] == [3, 1, 3] and spans[1][0] == (4, 1, 24) and spans[1][1][1:] == (3, 4 + 20 + 1 + 40)
 
 
