@@ -4,7 +4,8 @@ In a round each word finds its least pair rank (a segmented minimum) and merges
 of it, then the arrays are compacted.  Doing all places of one rank at once equals doing them one by one unless a
 merge makes a neighbouring pair of the same or a lower rank; such a word merges only its first place in that round.
 A vocabulary where each token is made by one merge, later than those of its parts, never needs that test.
-Words of more than LONG symbols go through a heap instead, in n log n steps; the result is the same.
+A word of more than LONG symbols has too many different ranks for rounds that look at all of it: its places wait under the rank of
+their pair, and a round takes the places of the lowest rank only, merges them at once and looks up the pairs beside them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ class Pairs:
         self.rank = np.append(np.asarray(rank, np.int64)[order], NEVER)
         self.merged = np.append(np.asarray(merged, np.int64)[order], -1)
         self.ordered = ordered
-        self._dict: dict[int, tuple[int, int]] | None = None
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places in rank and merged; the last place for pairs that do not merge."""
@@ -35,37 +35,62 @@ class Pairs:
         at = np.searchsorted(self.keys, keys)
         return np.where(self.keys[at] == keys, at, len(self.keys) - 1)
 
-    @property
-    def table(self) -> dict[int, tuple[int, int]]:
-        if self._dict is None:
-            self._dict = dict(zip(self.keys[:-1].tolist(), zip(self.rank[:-1].tolist(), self.merged[:-1].tolist(), strict=True), strict=True))
-        return self._dict
-
-
-def merge_long(symbols: list[int], pairs: Pairs) -> list[int]:
-    """One word by a heap of (rank, place)."""
-    table, n = pairs.table, len(symbols)
-    sym, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-
-    def push(i: int) -> None:
-        if i >= 0 and nxt[i] < n and (hit := table.get(sym[i] << 32 | sym[nxt[i]])):
-            heapq.heappush(heap, (hit[0], i, sym[i], sym[nxt[i]], hit[1]))
-
-    for i in range(n - 1):
-        push(i)
-    while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        j = nxt[i]
-        if sym[i] != a or j >= n or sym[j] != b:
+
+def _alternate(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of places (rising; after: the place that each one's pair ends before), the leftmost that do not overlap."""
+    run = np.append(True, after[:-1] != places[1:])
+    start = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
+    return (np.arange(len(places)) - start) % 2 == 0
+
+
+def merge_long(symbols: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """The symbols of one long word after all merges."""
+    n = len(symbols)
+    sym, nxt, prv = np.append(symbols.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[nxt[places] < n]
+        rank = pairs.rank[pairs.find(sym[places], sym[nxt[places]])]
+        some = np.flatnonzero(rank < NEVER)
+        some = some[np.argsort(rank[some], kind="stable")]
+        if len(some):
+            edges = np.flatnonzero(np.diff(rank[some])) + 1
+            for r, own in zip(rank[some][np.append(0, edges)].tolist(), np.split(places[some], edges), strict=True):
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(own)
+
+    wait(np.arange(n - 1))
+    while ranks:
+        r = heapq.heappop(ranks)
+        places = waiting.pop(r)
+        places = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
+        places = places[(sym[places] >= 0) & (nxt[places] < n)]
+        at = pairs.find(sym[places], sym[nxt[places]])
+        places, at = places[pairs.rank[at] == r], at[pairs.rank[at] == r]  # what was merged meanwhile is gone
+        if not len(places):
             continue
-        sym[i], sym[j] = new, -1
-        nxt[i] = nxt[j]
-        if nxt[i] < n:
-            prv[nxt[i]] = i
-        push(prv[i])
-        push(i)
-    return [s for s in sym if s >= 0]
+        take = _alternate(places, nxt[places])
+        hit, new = places[take], pairs.merged[at[take]]
+        right = nxt[hit]
+        if not pairs.ordered:
+            before, after = prv[hit], nxt[right]
+            left = np.where(np.append(False, right[:-1] == before[1:]), np.append(-1, new[:-1]), sym[before])
+            early = (before >= 0) & (pairs.rank[pairs.find(left, new)] <= r)
+            early |= (after < n) & (pairs.rank[pairs.find(new, sym[np.minimum(after, n)])] <= r)
+            if early.any():  # up to the first such place; the rest waits for what is due before it
+                first = int(np.argmax(early)) + 1
+                if len(rest := places[places > right[first - 1]]):
+                    heapq.heappush(ranks, r)
+                    waiting[r] = [rest]
+                hit, new, right = hit[:first], new[:first], right[:first]
+        sym[hit], sym[right] = new, -1
+        after = nxt[right]
+        nxt[hit], prv[after] = after, hit
+        wait(np.unique(np.concatenate([prv[hit][prv[hit] >= 0], hit])))
+    return sym[:n][sym[:n] >= 0]
 
 
 def merge_words(sym: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +100,7 @@ def merge_words(sym: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.nd
     if (long := np.flatnonzero(sizes > LONG)).size:
         ends = np.cumsum(sizes)
         for w in long.tolist():
-            m = np.array(merge_long(sym[ends[w] - sizes[w] : ends[w]].tolist(), pairs), np.int64)
+            m = merge_long(sym[ends[w] - sizes[w] : ends[w]], pairs)
             done.append((m, np.full(len(m), w)))
         short = sizes[of] <= LONG
         sym, of = sym[short], of[short]
@@ -96,9 +121,7 @@ def merge_words(sym: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.nd
             if not len(sym):
                 break
         hit = np.flatnonzero(rank == least_of)
-        run = np.append(True, np.diff(hit) > 1)  # of overlapping places, every second one merges
-        start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+        hit = hit[_alternate(hit, hit + 1)]
         if not pairs.ordered:
             hit = _safe(sym, of, at, rank, hit, pairs)
         sym[hit] = pairs.merged[at[hit]]

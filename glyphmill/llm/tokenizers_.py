@@ -2,7 +2,7 @@
 
 The driver reads a vocabulary file and broadcasts its entries (a file of a fixed vocabulary: megabytes, whatever the
 input); workers build the pair table once.  Texts are cut into words that no piece crosses; each distinct
-word is merged once per worker (``bpe``) and remembered in a table of bounded size.  A long text goes in pieces cut
+word is merged once per task (``bpe``) and remembered in a table of bounded size, which goes at the task's end, for workers live on.  A long text goes in pieces cut
 between words, so a worker holds one text and one piece of it.  Rows are independent: no shuffle.
 
 Null text: as the empty text.  Repeated rows get equal results; an empty table gives an empty result; columns other
@@ -12,6 +12,8 @@ than id and text are not read.
 from __future__ import annotations
 
 import codecs
+import contextlib
+import ctypes
 import hashlib
 import json
 import re
@@ -56,6 +58,16 @@ class Cache:
         return found
 
 
+    def forget(self) -> None:
+        self.known = {}
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that: other tasks' workers need it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def groups(texts: list[str]) -> Iterator[list[str]]:
     """Consecutive texts of about GROUP_CHARS characters together, so that their new words are merged in one go."""
     group, held = [], 0
@@ -141,6 +153,9 @@ class SentencePieceBpe:
     def normal(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
+    def forget(self) -> None:
+        self.cache.forget()
+
     def prepare(self, texts: list[str]) -> None:
         learn(self.cache, self.words, [self.normal(t) for t in texts if len(t) <= PIECE_CHARS])
 
@@ -213,6 +228,10 @@ class ByteBpe:
         flat = iter(self.parts.of([t for s in split for t in s]))
         return [sum(next(flat) for _ in s) for s in split]
 
+    def forget(self) -> None:
+        self.cache.forget()
+        self.parts.forget()
+
     def prepare(self, texts: list[str]) -> None:
         learn(self.cache, self.WORDS, [t for t in texts if len(t) <= PIECE_CHARS])
 
@@ -270,13 +289,17 @@ def _map(df: DataFrame, path: str, id_col: str, text_col: str, schema: str, row:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*shared.value)
-        for batch in batches:
-            found = []
-            for group in groups([t or "" for t in batch.column(1).to_pylist()]):
-                enc.prepare(group)
-                found += [row(enc, t) for t in group]
-            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["_id", *names])
+        try:
+            for batch in batches:
+                found = []
+                for group in groups([t or "" for t in batch.column(1).to_pylist()]):
+                    enc.prepare(group)
+                    found += [row(enc, t) for t in group]
+                columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["_id", *names])
+        finally:
+            enc.forget()
+            give_back()
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     key = rows.schema["_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from glyphmill.llm import decontaminate, dedup, html, licenses, queries, tokenizers_, words
+from glyphmill.llm import bpe, decontaminate, dedup, html, licenses, queries, tokenizers_, words
 
 SPICE = ["a", "b", "the", "in", " ", "  ", "\n", "\t", "é", "中", "😀", "▁", "1", "23", "!", "'s", "<|endoftext|>", "<s>", "<0x41>", "\x00", "\x1c", "\x85", "​", "　", "�", "\xa0", "\r\n"]
 
@@ -228,6 +228,37 @@ def test_the_reference_is_a_typical_page(spark):
         assert all(got[i] == f"Story {i}\nBody {i}" for i in range(12)) and len(got) == 13
 
 
+def merged_one_by_one(symbols, pairs):
+    s = list(symbols)
+    while len(s) > 1:
+        at = pairs.find(np.array(s[:-1]), np.array(s[1:]))
+        i = int(np.argmin(pairs.rank[at]))
+        if pairs.rank[at[i]] >= 1 << 40:
+            break
+        s[i : i + 2] = [int(pairs.merged[at[i]])]
+    return s
+
+
+def test_rounds_equal_merging_one_by_one():
+    rng = random.Random(12)
+    for case in range(60):
+        made = [(a, b) for a in range(4) for b in range(4)]
+        rng.shuffle(made)
+        made = made[: rng.randrange(1, 12)]
+        ids = {p: 4 + i for i, p in enumerate(made)}
+        for _ in range(rng.randrange(12)):  # pairs of merged symbols, with ranks in any order
+            p = (rng.randrange(4 + len(ids)), rng.randrange(4 + len(ids)))
+            ids.setdefault(p, 4 + len(ids))
+        left, right = zip(*ids, strict=True)
+        ranks = rng.sample(range(len(ids)), len(ids)) if case % 2 else [rng.randrange(4) for _ in ids]
+        pairs = bpe.Pairs(left, right, ranks, list(ids.values()), ordered=False)
+        for n in (1, 2, 7, 60, 500):
+            word = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(n)]
+            want = merged_one_by_one(word, pairs)
+            assert bpe.merge_long(np.array(word), pairs).tolist() == want
+            assert bpe.merge_words(np.array(word), np.array([n]), pairs)[0].tolist() == want
+
+
 def random_texts():
     rng = random.Random(9)
     return ["", " ", "  ", " a", "a" * 3000, " " * 700, "ab" * 900, "x" * 600 + " y"] + ["".join(rng.choices(SPICE, k=rng.randrange(60))) for _ in range(800)] + ["".join(rng.choices("abcde ", k=3000))]
