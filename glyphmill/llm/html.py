@@ -5,8 +5,9 @@ hashes of their ids, the one whose tree is most like the others'.  Each page of
 from the matches of child lists.  A matched node fills the reference node's slot.  Over all pages of the host, the
 texts of a slot are counted; a slot whose commonest text has at least 90 % of eight or more pages is constant,
 hence template.  What varies is content, unless the slot's role says otherwise (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments; by element, role attribute and class or id words).  On a page with an article or main element the
-content lies in it.  There the number of like siblings varies and shifts slots, so a text counts wherever in the element it
+adverts, forms, reader comments; by element, role attribute, and class or id names made of such words and neutral ones only).  On a page with an
+article or main element the content lies in it, unless what varies outside has over ``TEASER`` times its characters (then it is a teaser, and the whole
+page counts).  Inside such an element the number of like siblings varies and shifts slots, so a text counts wherever in the element it
 stands: one that 90 % of the host's eight or more such pages hold is template.  Only where such texts
 make up over half of all text there are they kept: then the pages are copies of one article.
 
@@ -17,7 +18,7 @@ broadcast if its size, measured, is under ``broadcast_bytes``, otherwise by a jo
 Depth and width have no bound: trees are walked without recursion, and two child lists whose table would have over
 ``WIDEST`` squared cells are aligned by halves (Hirschberg), which needs little memory and gives a largest match as well.
 
-Null html: empty text.  Null urls share the empty host.  Null ids never serve as reference; a host without one has no
+Null or empty html: empty text.  Very long pages are parsed whole.  Null urls share the empty host.  Null ids never serve as reference; a host without one has no
 constant slots.  Repeated rows give equal texts; an empty table gives an empty result; columns
 other than id, url and html are not read.
 """
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.scratch import Scratch
 from glyphmill.llm.urls import host_path
 
-CONSTANT_PERCENT, LEAST_PAGES = 90, 8
+CONSTANT_PERCENT, LEAST_PAGES, TEASER = 90, 8, 4
 #: In place of a slot: a text inside an article or main element, the pages that have any, and their characters.
 WITHIN, PAGES, CHARS = -1, -2, -3
 
@@ -58,9 +59,15 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert sidebar aside nav navbar navigation menu "
     "breadcrumb breadcrumbs footer masthead newsletter subscribe signup popup modal overlay comment comments reply replies disqus related recommended share sharing social widget toolbar pagination pager".split()
 )
+#: Words that say where or how a thing stands, not what it is: a name is boilerplate if it has one of WORDS and else only these.
+NEUTRAL = frozenset(
+    "top bottom left right main site page global primary secondary inner outer wrap wrapper container box block list item items link links button buttons btn bar area section slot unit "
+    "col column row header content group panel side text inline float sticky fixed mobile desktop js is has post entry article story news blog user reader readers all new latest more head title "
+    "form field icon icons logo count policy the my wp s".split()
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)|<[!?/][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-NAMES = re.compile(r"[a-z]+")
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Odd tags must not hold the marks of ``shape_text``.
 PLAIN = str.maketrans("(),", "___")
 
@@ -75,13 +82,21 @@ class Node:
         self.tag, self.boiler, self.inside, self.children, self.text, self.shape, self.size = tag, boiler, inside, [], "", -1, 1
 
 
+def _boiler_name(name: str) -> bool:
+    words = {w.lower() for w in NAMES.findall(name)}
+    return not words.isdisjoint(WORDS) and words <= WORDS | NEUTRAL
+
+
 def _boiler(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in BOILER or (tag == "header" and not inside_main):
         return True
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id") and tag not in ("html", "body") and not WORDS.isdisjoint(NAMES.findall(value)):
-            return True
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name in ("class", "id"):
+            if tag not in ("html", "body") and any(_boiler_name(x) for x in value.split()):
+                return True
+            continue
+        value = value.lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
@@ -411,9 +426,21 @@ def extract(page: Node, reference: Node | None, constant: frozenset[int], within
             if n.text and _text_hash(n.text) in within:
                 drop.add(id(n))
             todo += _nodes(n)
-    elif not articles and constant and reference is not None:
-        drop = {i for i, s in align(page, reference).items() if s in constant}
-    tops = articles or [page]
+
+    def constant_slots() -> set[int]:
+        return {i for i, s in align(page, reference).items() if s in constant} if constant and reference is not None else set()
+
+    if not articles:
+        return _content([page], constant_slots())
+    text = _content(articles, drop)
+    if len(_content([page], drop)) > (TEASER + 1) * len(text):  # with the template's texts, at first
+        whole = _content([page], drop | constant_slots())
+        return whole if len(whole) > (TEASER + 1) * len(text) else text
+    return text
+
+
+def _content(tops: list[Node], drop: set[int]) -> str:
+    """The blocks, one a line, without the dropped ones unless they are all."""
     text = "\n".join(_blocks(tops, drop))
     return text if text or not drop else "\n".join(_blocks(tops, set()))
 
