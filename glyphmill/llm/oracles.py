@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import licenses, quality, secrets, urls
-from glyphmill.llm.queries import LISTED_SITES
+from glyphmill.llm import licenses, quality, queries, secrets, urls
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -55,9 +54,8 @@ def _op2() -> str:
     FROM d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-def _op4() -> str:
+def _ledger() -> str:
     bits = " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in quality.RULES)
-    mask, base = quality.PRODUCTION.mask, quality.BASE.mask
     return rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS ls FROM documents),
@@ -67,9 +65,25 @@ def _op4() -> str:
     m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
     b AS (SELECT *, ({bits})::BIGINT AS failed_bits FROM m)
+    """
+
+
+def _op4() -> str:
+    mask, base = quality.PRODUCTION.mask, quality.BASE.mask
+    return f"""{_ledger()}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {base}) <> 0 AS base_failed, (failed_bits & {mask}) = 0 AS kept, failed_bits FROM b"""
 
 
+def _ablations() -> str:
+    """Each rule's rows one by one, without masks of several rules."""
+    parts = [
+        f"SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER ((failed_bits // {quality.BIT[r]}) % 2 = 1) AS n_failed, "
+        f"count(*) FILTER ((failed_bits // {quality.BIT[r]}) % 2 = 1 AND {' AND '.join(f'(failed_bits // {quality.BIT[o]}) % 2 = 0' for o in p.rejects if o != r)}) AS n_only FROM b"
+        for p in (quality.BASE, quality.PRODUCTION) for r in p.rejects
+    ]
+    return _ledger() + " UNION ALL ".join(parts)
+
+
 def _op5(shards: int = 24, buckets: int = 4096) -> str:
     """CRC-32 byte by byte with the reflected polynomial; rendezvous by the same digest, ranked by SQL."""
     entry = "i::BIGINT"
@@ -89,7 +103,6 @@ def _op5(shards: int = 24, buckets: int = 4096) -> str:
 
 
 def _op6() -> str:
-    sites = "|".join(LISTED_SITES)
     cases_rule, cases_verdict = [], []
     for what, text in sorted(urls.RULES, key=lambda r: (-len(r[1]), r[1])):
         h, p = text[: text.index("/")], text[text.index("/") :]
@@ -100,15 +113,20 @@ def _op6() -> str:
     WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
     b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
     k AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS canon FROM b),
-    l AS (SELECT DISTINCT canon FROM k WHERE regexp_matches(host, '(^|\.)({sites})\.'))
+    l AS (SELECT sub || site || '.example.' || top || '/' || lang || '/' || n AS canon FROM unnest({list(queries.LISTED_SUBS)}) AS a(sub), unnest({list(queries.LISTED_SITES)}) AS b(site), unnest({list(queries.LISTED_TOPS)}) AS c(top),
+      unnest({list(queries.LISTED_LANGS)}) AS d(lang), range({queries.LISTED_NUMBERS}) AS e(n))
     SELECT page_id, host, path, CASE {" ".join(cases_rule)} END AS rule,
       coalesce(CASE {" ".join(cases_verdict)} END, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canon IS NOT NULL AS listed
     FROM k LEFT JOIN l ON l.canon = k.canon"""
 
 
 def _template_regex(template: str) -> str:
-    """The template as a pattern over folded words that each have a space before them."""
+    """The template as a pattern over folded words that each have a space before them; with an end, over the lower-cased text."""
     out, at = "", 0
+    if template.endswith("<<end>>"):
+        gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+        words = (w.decode() for w in template.removesuffix("<<end>>").encode().translate(licenses.ALNUM).split())
+        return f"(?:^|{gap})" + f"{gap}+".join(words) + rf"(?:$|[\x00-\x2A\x2C\x2F\x3A-\x60\x7B-\x7F]|[-+.](?:$|{gap}))"
     for m in [*licenses.MARKUP.finditer(template), None]:
         text = template[at : m.start() if m else len(template)]
         out += "".join(" " + w.decode() for w in text.encode().translate(licenses.ALNUM).split())
@@ -126,17 +144,17 @@ def _op8() -> str:
         + " AND ".join(f"ws[i+{j}] = '{x}'" for j, x in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES
     )
-    own = " UNION ".join(f"SELECT doc_id, '{label}' AS label FROM w WHERE regexp_matches(joined, {_q(_template_regex(t))})" for label, t in licenses.TEMPLATES)
+    own = " UNION ".join(f"SELECT doc_id, '{label}' AS label, {score} AS score FROM w WHERE regexp_matches({'low' if t.endswith('<<end>>') else 'joined'}, {_q(_template_regex(t))})" for label, score, t in licenses.TEMPLATES)
     return rf"""
-    WITH w AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') AS joined FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{word}') AS ws FROM documents)),
+    WITH w AS (SELECT doc_id, low, ws, ' ' || array_to_string(ws, ' ') AS joined FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS low, regexp_extract_all(low, '{word}') AS ws FROM documents)),
     p AS ({phrases}), t AS ({own}),
     b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
     o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM t) GROUP BY 1),
-    a AS (SELECT DISTINCT doc_id FROM t)
+    a AS (SELECT doc_id, max(score) AS score FROM t GROUP BY 1)
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels,
-      coalesce(o.labels, '') AS labels, CASE WHEN a.doc_id IS NOT NULL THEN 1.0 WHEN b.doc_id IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+      coalesce(o.labels, '') AS labels, CASE WHEN a.doc_id IS NOT NULL THEN a.score WHEN b.doc_id IS NOT NULL THEN {licenses.PHRASE} ELSE 0.0 END::DOUBLE AS score
     FROM w LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN a ON a.doc_id = w.doc_id"""
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op2_secret_scan": _op2(), "op4_quality_rules": _op4(), "op5_sharding": _op5(), "op6_url_filter": _op6(), "op8_license_scan": _op8()}
+    return {"op1_minhash_dedup": OP1, "op2_secret_scan": _op2(), "op4_quality_rules": _op4(), "quality_ablations": _ablations(), "op5_sharding": _op5(), "op6_url_filter": _op6(), "op8_license_scan": _op8()}

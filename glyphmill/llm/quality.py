@@ -5,8 +5,8 @@
 ``ablations`` says, from the bits alone, how many rows each rule of a policy rejects by itself.  Rows are
 independent: the ledger is one projection without a shuffle, the ablations one aggregate with partial sums.
 
-Null text: no words, so it fails ``few_words``.  Repeated rows are judged alike; columns other than the id and
-the text are not read; an empty table gives an empty ledger.
+Null or empty text: no words, so it fails ``few_words``.  Repeated rows are judged alike; columns other than the id and
+the text are not read; an empty table gives an empty ledger, and no ablations.  Very long texts are measured whole, by one sort of their windows.
 """
 
 from __future__ import annotations

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontaminate, dedup, html, licenses, quality, secrets, sharding, tokenizers_, urls
+from glyphmill.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,29 +40,46 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger: every rule is evaluated once, whatever policies read it."""
+    return Scratch(spark, "ledger").keep("ledger", quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.PRODUCTION)
+    rows = quality.apply_policy(_ledger(spark, sf_dir), quality.PRODUCTION)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"), "kept", "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's ledger under each policy: what every rule rejects, and what it alone rejects."""
+    rows = _ledger(spark, sf_dir)
+    each = [quality.ablations(rows, p).select(F.lit(p.version).alias("policy"), "rule", "n_failed", "n_only") for p in (quality.BASE, quality.PRODUCTION)]
+    return each[0].union(each[1])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
 
-#: Site names whose canonical URLs make up the list of op6.
-LISTED_SITES = ("casino-win", "free-bets", "cheap-pills", "ads-track")
+#: The list of op6 is a product of these: canonical URLs of a few sites, numbered below LISTED_NUMBERS.  It does not come from pages.
+LISTED_SUBS, LISTED_SITES, LISTED_TOPS, LISTED_LANGS = ("", "www."), ("casino-win", "free-bets", "cheap-pills", "ads-track"), ("com", "net", "org"), ("en", "de", "fr", "es")
+LISTED_NUMBERS = 1000
 
 
-def listed_urls(pages: DataFrame) -> DataFrame:
-    """The list of op6: the canonical URLs of the pages of a few sites."""
-    host, path = urls.host_path(F.col("url"))
-    named = pages.select(host.alias("host"), path.alias("path"))
-    return named.where(F.col("host").rlike(r"(^|\.)(" + "|".join(LISTED_SITES) + r")\.")).select(urls.canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list of op6, of a fixed size (96,000)."""
+    parts, n = [LISTED_SUBS, LISTED_SITES, LISTED_TOPS, LISTED_LANGS], F.floor(F.col("id") / LISTED_NUMBERS).cast("int")
+    names = []
+    for values in parts:
+        names.append(F.get(F.array(*[F.lit(v) for v in values]), n % len(values)))
+        n = F.floor(n / len(values)).cast("int")
+    sub, site, top, lang = names
+    rows = spark.range(LISTED_NUMBERS * math.prod(map(len, parts)))
+    return rows.select(F.concat(sub, site, F.lit(".example."), top, F.lit("/"), lang, F.lit("/"), (F.col("id") % LISTED_NUMBERS).cast("string")).alias("canonical_url"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urls.url_filter(pages, listed_urls(pages))
+    return urls.url_filter(table(spark, sf_dir, "pages"), listed_urls(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +104,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_html_text, op4_quality_rules, op5_sharding, op6_url_filter, op7_decontamination, op8_license_scan, op9_sentencepiece, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_html_text, op4_quality_rules, quality_ablations, op5_sharding, op6_url_filter, op7_decontamination, op8_license_scan, op9_sentencepiece, op10_token_counts, pipeline)}

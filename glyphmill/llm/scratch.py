@@ -1,57 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from glyphmill.sources.shared import Scratch, shared_dir
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _FALLBACK:
-        _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK["dir"])
-    return _FALLBACK["dir"]
-
-
-class Scratch:
-    """Tables written once and read back, so that a lost executor never costs more than one stage.
-
-    ``drop`` deletes a table as soon as nothing reads it; what a lazy result still needs goes at exit.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[str, str] = {}
-        atexit.register(self._at_exit)
-
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        self.paths[path] = name
-        schema = df.schema
-        df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for path in [p for p, n in self.paths.items() if n in names]:
-            self._delete(path)
-            self.paths[path] = ""
-
-    def _delete(self, path: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(conf).delete(there, True)
-
-    def _at_exit(self) -> None:
-        with contextlib.suppress(Exception):  # the session may be gone; then the folder's owner clears it
-            if not self.spark.sparkContext._jsc.sc().isStopped():
-                self._delete(self.root)
+__all__ = ["Scratch", "shared_dir"]

@@ -8,7 +8,7 @@ Slots number the rows of a shard from 0 without a gap.  No task ever holds a who
 are shuffled, never texts.
 
 A null key hashes as its own value, apart from all others; a null text has size 8 and the checksum of no bytes.
-Repeated rows share a shard and get different slots.  Columns other than key and text are not read.
+Repeated rows share a shard and get different slots; an empty table gives an empty result; of very long texts only sizes and checksums are kept.  Columns other than key and text are not read.
 """
 
 from __future__ import annotations

@@ -2,11 +2,12 @@
 
 Listed URLs set bits in a blocked filter (one block of 512 bits a URL, as eight longs).  A page's canonical URL is
 probed against its block; only URLs that pass go to the exact hash join, which removes the false positives.
-The filter and the list are broadcast only if their sizes, known from a count, are under ``broadcast_bytes``; a
-larger list goes through a shuffled join, whose skewed partitions AQE may split.
+The list is written once, and its size decides how the two are joined, not whether: the filter and the list are broadcast if
+they are under ``broadcast_bytes``; larger ones are joined by block and by URL, where rows of a hot block or URL are dealt out.
 
 Null urls and those without :// have an empty host and path, fit no rule, and are never listed.  Repeated rows are
-judged alike.  Null or repeated list entries do no harm; an empty list lists nothing.
+judged alike.  Null or repeated list entries do no harm; an empty list lists nothing; an empty table gives an empty result.  Very long urls
+are judged whole.  Columns of pages other than id and url, and of the list other than its URL, are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.scratch import Scratch
+from glyphmill.operators.skew import spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed: the rules of the query, verdict and host/path.
@@ -83,26 +87,24 @@ def url_filter(
 ) -> DataFrame:
     """id, host, path, rule, verdict, listed: the rule's verdict, else block if the canonical URL is listed."""
     rules = RULES if rules is None else rules
-    keys = listed.select(F.col(listed_col).alias("_listed")).where(F.col("_listed").isNotNull()).distinct()
-    host, path = host_path(F.col("_url"))
-    rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("_url"))
-    rows = rows.select(id_col, host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_key", canonical(F.col("host"), F.col("path")))
+    scratch = Scratch(pages.sparkSession, "urls")
+    keys = scratch.keep("listed", listed.select(F.col(listed_col).alias("_listed")).where(F.col("_listed").isNotNull()).distinct())
     n, chars = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("_listed")), F.lit(0))).first()
     blocks = max(1, -(-n * BITS_A_URL // (64 * WORDS_A_BLOCK)))
-    small = blocks * 160 <= broadcast_bytes and n * 64 + 2 * chars <= broadcast_bytes
-    if small:
-        rows = rows.join(F.broadcast(bloom(keys, "_listed", blocks)), _bits(F.col("_key"), blocks)[0] == F.col("_block"), "left")
-        block, masks = _bits(F.col("_key"), blocks)
-        passes = reduce(lambda a, b: a & b, [F.col(f"_w{j}").bitwiseAND(m) != 0 for j, m in enumerate(masks)])
-        rows = rows.select(id_col, "host", "path", F.when(passes, F.col("_key")).alias("_key"))
-        rows = rows.join(F.broadcast(keys), F.col("_key") == F.col("_listed"), "left")
-    else:  # rows without a key match nothing; a salt keeps them from one partition
-        probe = F.coalesce(F.col("_key"), F.concat(F.lit("\x00"), F.xxhash64(F.col(id_col)).cast("string")))
-        rows = rows.join(keys, probe == F.col("_listed"), "left")
+    host, path = host_path(F.col("_url"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    rows = rows.select("_id", host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("_key", canonical(F.col("host"), F.col("path")))
+    rows = rows.withColumn("_block", _bits(F.col("_key"), blocks)[0])
+    bits = bloom(keys, "_listed", blocks)
+    rows = rows.join(F.broadcast(bits), "_block", "left") if blocks * 160 <= broadcast_bytes else spread_join(rows, ["_block"], "_id", bits, "left")
+    passes = reduce(lambda a, b: a & b, [F.col(f"_w{j}").bitwiseAND(m) != 0 for j, m in enumerate(_bits(F.col("_key"), blocks)[1])])
+    rows = rows.select("_id", "host", "path", F.when(passes, F.col("_key")).alias("_key"))
+    exact = keys.select(F.col("_listed").alias("_key"), F.lit(True).alias("_hit"))
+    rows = rows.join(F.broadcast(exact), "_key", "left") if n * 64 + 2 * chars <= broadcast_bytes else spread_join(rows, ["_key"], "_id", exact, "left")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    hit = F.col("_listed").isNotNull()
+    hit = F.col("_hit").isNotNull()
     return rows.select(
-        id_col, "host", "path", rule.alias("rule"),
+        F.col("_id").alias(id_col), "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(hit, "block").otherwise("allow")).alias("verdict"), hit.alias("listed"),
     )

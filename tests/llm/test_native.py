@@ -122,6 +122,19 @@ def test_urls(spark):
             assert (got[3].host, got[4].path, got[0].host, got[0].path, got[11].host) == ("", "", "example.com", "/en/7", "b:")
 
 
+def test_many_listed_urls_and_false_positives(spark, monkeypatch):
+    listed = spark.range(20_000).select(F.concat(F.lit("site.test/a/"), (F.col("id") * 2).cast("string")).alias("canonical_url"), F.lit(1).alias("host"))
+    pages = spark.range(9_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://SITE.test/a/"), F.when(F.col("id") < 3_000, 4).otherwise(F.col("id")).cast("string"), F.lit("?q")).alias("url"), F.lit(0).alias("listed"), F.lit("x").alias("_key"))
+    pages = pages.union(spark.createDataFrame([(-1, None, 0, "x"), (-1, None, 0, "x")], "page_id long, url string, listed int, _key string"))
+    for bits in (16, 1):  # with one bit a URL the filter lets most URLs pass: the exact join removes them
+        monkeypatch.setattr(urls, "BITS_A_URL", bits)
+        for size in (64 << 20, 0):
+            got = urls.url_filter(pages, listed, rules=[], broadcast_bytes=size)
+            wrong = got.where("page_id >= 0").where(F.col("listed") != ((F.col("page_id") < 3_000) | (F.col("page_id") % 2 == 0)))
+            assert got.count() == 9_002 and wrong.count() == 0 and got.where("page_id = -1 AND verdict = 'allow' AND host = ''").count() == 2
+    assert urls.url_filter(pages.limit(0), listed).count() == 0
+
+
 def test_sharding(docs, spark):
     rows = sharding.shard_rows(docs, buckets=4).collect()
     assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in ODD}

@@ -30,10 +30,31 @@ def test_stages(spark, tmp_path):
     assert set(out) == clean | {25} and all(r.n_tokens > 2 for r in out.values())
 
 
-@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:]])
+CLASHING = ["kept", "_row", "spans", "_drop", "_near", "_id", "_text", "_hash", "_found", "_count", "failed_bits", "_new", "id", "component_id", "_salt"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_empty_tables_and_extra_columns(spark, stage, tmp_path):
-    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, kept int, `_row` int, spans string")
-    assert stage(spark, df, str(tmp_path)).count() == 0
+    spark.createDataFrame([(1, "a passage of the benchmark that is long enough to be sought")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    rows = [(i, t, "en", None, 5, *range(len(CLASHING))) for i, t in [(1, CLEAN[0][1]), (2, CLEAN[1][1]), (2, CLEAN[1][1]), (3, None), (4, ""), (None, CLEAN[2][1])]]
+    df = spark.createDataFrame(rows, schema)
+    assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    got = stage(spark, df, str(tmp_path))
+    n = {"quality_rules": 4, "near_duplicates": 5}.get(stage.__name__, 6)
+    assert got.count() == n
+    if stage is not corpus_pipeline.sentencepiece:
+        assert got.columns == df.columns and {tuple(r)[5:] for r in got.collect()} == {tuple(range(len(CLASHING)))}
+
+
+def test_of_rows_that_repeat_an_id_and_a_text_a_fixed_one_stays(spark):
+    rows = [(5, CLEAN[0][1], n) for n in range(20)] + [(5, CLEAN[1][1], n) for n in range(20)]
+    first = None
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(parts)
+        got = sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+        assert len(got) == 2 and got == (first or got)
+        first = got
 
 
 def test_nothing_is_lost_without_an_id(spark, tmp_path):
