@@ -10,18 +10,22 @@ A document's set holds the hashes of its distinct 5-word shingles; its sketch is
    A list is cut by set size into overlapping bands, for sets of very different sizes are never similar.
 3. Inverted lists give pairs, but never all pairs of a list: each list pairs its most central member (the hub) with
    the others.  Estimates from the union's sketch drop hopeless pairs, full sets decide on the rest, links join components.
-4. In a list that still holds several components, take x and y that are not both linked with the hub h.  The symmetric differences
+4. In a long list that still holds several components, take x and y that are not both linked with the hub h.  The symmetric differences
    D(x), D(y) to h must overlap if x and y are similar: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  So the members
-   go into new, much shorter lists keyed by (h, element of the rarest part of D).  Lists that are short then are compared
-   pair by pair, where the places of the shared element in both differences leave room for the overlap; otherwise step 3 runs on them, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
+   go into new, much shorter lists keyed by (h, element of the rarest part of D).  Each list that is short then (its pairs are at most
+   ``PAIRS_A_MEMBER`` times its members) is compared pair by pair, where the places of the shared element in both differences leave
+   room for the overlap; step 3 runs on the others, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
 5. Components come from alternating large-star and small-star steps on the links, in written tables.
 
+Hubs, roots and sets that a large share of all rows has are no hot keys: ``spread_join`` deals their partners out and ships the one row they
+are joined with to each part.
+
 What can be lost: a pair at the limit p shares need = share k of the k smallest values of its union unless a binomial
 with k and p falls below that, which has a chance under one in a million (k = 64: 39 for p = 0.85, 34 for 0.80).  Sets of at
 most p k shingles are compared through whole sets, where nothing is lost.  Steps 3 and 4 lose nothing else.
 
 Null or empty text: empty set, linked with nothing.  Null ids: kept as rows of their own, with a null component.  Rows that
-repeat an id count as one document: they share a component.  Empty tables give empty results; columns
+repeat an id count as one document: they share a component, as do several texts of one id.  Very long texts are hashed piece by piece.  Empty tables give empty results; columns
 other than id and text are not read.
 """
 
@@ -30,7 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +43,11 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import words
 from glyphmill.llm.scratch import Scratch
+from glyphmill.operators.skew import spread_join
 
 SHINGLE, K, JACCARD_PERCENT = 5, 64, 85
 MISSED = 1e-6
-LEVELS = 6
+LEVELS = 12
 PAIRS_A_MEMBER = 40
 
 
@@ -114,9 +119,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), ["u"], "v", least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = spread_join(large, ["u"], "v", least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.keep("cc", moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         # done when every node has one root, and no root has one
         sides = new.select(F.col("u").alias("x"), F.lit(1).alias("a")).union(new.select(F.col("v").alias("x"), F.lit(None)).distinct())
@@ -158,23 +163,24 @@ def _split(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _links(pairs: DataFrame, classes: DataFrame, full: DataFrame, scratch: Scratch, limit: Limit) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, as (u, v)."""
     s = classes.select("rep", "sketch")
-    near = pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+    pairs = scratch.keep("pairs", pairs)  # a may be the hub of a long list
+    near = spread_join(pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"), ["a"], "b", s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), keys_of=pairs)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, limit.k)
     near = near.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("i"))
     near = scratch.keep("near", near.where(F.col("i") >= limit.share * F.col("u") - 1).select("a", "b"))
-    both = near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
+    both = spread_join(near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b"), ["a"], "b", full.select(F.col("id").alias("a"), F.col("full").alias("fa")), keys_of=near)
     inter = F.size(F.array_intersect("fa", "fb"))
     both = both.select("a", "b", inter.alias("i"), (F.size("fa") + F.size("fb") - inter).alias("u"))
     links = both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * limit.percent)
     links = scratch.keep("links", links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    scratch.drop("near")
+    scratch.drop("near", "pairs")
     return links
 
 
 def _sublists(split: DataFrame, full: DataFrame, limit: Limit) -> DataFrame:
     """New lists (step 4) of the members of split lists, keyed by hub and an element of the difference to it."""
     m = split.where("rep <> hub").select("hub", "rep", "n", "score").distinct()
-    rows = m.join(full.select(F.col("id").alias("rep"), F.col("full").alias("fx")), "rep").join(full.select(F.col("id").alias("hub"), F.col("full").alias("fh")), "hub")
+    rows = spread_join(m.join(full.select(F.col("id").alias("rep"), F.col("full").alias("fx")), "rep"), ["hub"], "rep", full.select(F.col("id").alias("hub"), F.col("full").alias("fh")), keys_of=m)
     delta = F.concat(F.array_except("fx", "fh"), F.array_except("fh", "fx"))
     rows = rows.select("hub", "rep", "n", "score", F.size("fh").alias("nh"), delta.alias("d")).withColumn("size", F.size("d"))
     linked = F.col("size") <= limit.tau * (F.col("n") + F.col("nh")) + 1e-9
@@ -205,9 +211,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = filled.where("id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.keep("classes", classes)
     # an id with several texts connects their classes
-    twice = filled.where("id IS NOT NULL").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v")
-    links = scratch.keep("twice", twice.select("u", "v"))
-    comp = None if links.isEmpty() else components(links, scratch)
+    known = filled.where("id IS NOT NULL").select("id", "h1", "h2", "n")
+    several = scratch.keep("several", known.groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi")).where("lo <> hi").select("id"))
+    if (n := several.count()) > 0:
+        some = known.join(F.broadcast(several) if n <= broadcast_rows else several, "id", "left_semi").distinct()
+        owned = scratch.keep("owned", some.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("id", "rep"))
+        twice = spread_join(owned, ["id"], "rep", owned.groupBy("id").agg(F.min("rep").alias("v"))).where("rep <> v")
+        links = scratch.keep("twice", twice.select(F.col("rep").alias("u"), "v"))
+    else:
+        links = spark.createDataFrame([], "u bigint, v bigint")
+    comp = components(links, scratch) if n > 0 else None
     lists = scratch.keep("lists", _prefixes(classes, limit))
     split = scratch.keep("split", _split(lists, comp))
     if not split.isEmpty():
@@ -221,36 +234,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # short lists are finished pair by pair; long ones get another round
         one = lambda c: F.sum(F.when(c, 1).otherwise(0))
         each = split.groupBy("v").agg(F.count("*").alias("m"), one(F.col("linked")).alias("x"), one(~F.col("linked") & F.col("short")).alias("y"))
-        members, every = each.agg(F.sum("m"), F.sum(F.col("x") * (F.col("m") - F.col("x")) + F.col("y") * (F.col("y") - 1) / 2)).first()
-        last = level == LEVELS or (level > 0 and every <= PAIRS_A_MEMBER * members)
-        if not last:
-            pairs = split.where("root <> hub_root").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        else:
-            x, y = (split.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short", "n", "size", "pos")]) for i in "xy")
+        every = F.col("x") * (F.col("m") - F.col("x")) + F.col("y") * (F.col("y") - 1) / 2
+        long, short = (split, None) if level == 0 else (None, split)
+        if 0 < level < LEVELS:
+            big = scratch.keep("big", each.where(every > PAIRS_A_MEMBER * F.col("m")).select("v"))
+            if (n := big.count()) > 0:
+                big = F.broadcast(big) if n <= broadcast_rows else big
+                long, short = split.join(big, "v", "left_semi"), split.join(big, "v", "left_anti")
+        found = []
+        if long is not None:
+            found.append(long.where("root <> hub_root").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        if short is not None:
+            x, y = (short.select("v", *[F.col(c).alias(c + i) for c in ("rep", "root", "linked", "short", "n", "size", "pos")]) for i in "xy")
             roles = (F.col("linkedx") != F.col("linkedy")) | (~F.col("linkedx") & F.col("shortx") & F.col("shorty"))
             # the first element that two differences share leaves room for the overlap they need; sizes are close, too
             overlap = F.col("sizex") + F.col("sizey") - limit.tau * (F.col("nx") + F.col("ny"))
             room = F.least(F.col("sizex") - F.col("posx"), F.col("sizey") - F.col("posy"))
             may = (2 * room >= overlap - 1e-9) & (100 * F.least("nx", "ny") >= limit.percent * F.greatest("nx", "ny"))
-            pairs = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles & may)
-            pairs = pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
-        new = _links(pairs, classes, full, scratch, limit)
+            near = x.join(y, "v").where((F.col("repx") < F.col("repy")) & (F.col("rootx") != F.col("rooty")) & roles & may)
+            found.append(near.select(F.col("repx").alias("a"), F.col("repy").alias("b")))
+        new = _links(reduce(DataFrame.union, found).distinct(), classes, full, scratch, limit)
         if not new.isEmpty():
             links = links.union(new)
             comp = components(links, scratch)
-        if last:
+        if long is None:
             break
-        left = scratch.keep("left", _split(split.select("rep", "n", "score", "v", "linked", "short"), comp))
+        left = scratch.keep("left", _split(long.select("rep", "n", "score", "v", "linked", "short"), comp))
         if left.isEmpty():
             break
         split = scratch.keep("split", _split(_sublists(left, full, limit), comp))
-    scratch.drop("lists", "split", "left", "ids", "full", "links", "twice")  # the result reads rows, classes and components
+    scratch.drop("lists", "split", "left", "ids", "full", "links", "twice", "several", "owned", "big")  # the result reads rows, classes and components
     sets = classes.select("h1", "h2", "n", "rep")
     if comp is not None:
         sets = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         sets = sets.withColumn("root", F.lit(None).cast("long"))
     sets = sets.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
-    some = filled.select("id", "n", "h1", "h2").join(sets, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
+    some = spread_join(filled.select("id", "n", "h1", "h2"), ["h1", "h2", "n"], "id", sets, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
     out = some.union(rows.where("n = 0").select("id", "n", F.col("id").alias("root")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
