@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Common to the stages: columns other than doc_id, text (and n_chars) pass through untouched, whatever their names, for a stage keeps the row in a
+struct beside its own columns; empty tables give empty results; rows are independent but in near_duplicates.
 """
 
 from __future__ import annotations
@@ -19,60 +22,81 @@ BROADCAST_IDS = 1_000_000
 NEAR_PERCENT = 80
 
 
+def _row(docs: DataFrame):
+    """The columns of docs as a struct, so that a stage's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go.  The rules read the row itself, so nothing is joined."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    kept = quality.apply_policy(quality.ledger(rows, "_row", "text"), quality.PRODUCTION).where("kept")
+    """Documents that the production policy rejects go.  The rules read the row itself, so nothing is joined.
+
+    A null or empty text has no words and goes; a very long one is measured whole; repeated rows are judged alike.
+    """
+    rows = docs.select(_row(docs), F.col("text").alias("_text"))
+    kept = quality.apply_policy(quality.ledger(rows, "_row", "_text"), quality.PRODUCTION).where("kept")
     return kept.select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
-    Documents without an id cannot be told apart and stay; of rows that repeat an id and a text one stays.  Different texts of one
-    id are documents of their own: all but one of them go by a number beyond all ids.
+    Documents without an id cannot be told apart and stay; null and empty texts resemble nothing and stay; very long texts are compared whole.  Different texts of one
+    id are documents of their own: the one with the least hash has the id, the others come, by hash, after all ids.  Of rows that repeat an id and a text the
+    one with the least hash of all its columns stays.
     """
     scratch = Scratch(spark, "pipeline-dedup")
-    columns, text_hash = docs.columns, F.xxhash64("text", F.col("text").isNull())
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"))
-    several = texts.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least <> _most")
-    several = scratch.keep("several", several.select("_id", "_least"))
-    docs = docs.withColumn("_near", F.col("doc_id").cast("long"))
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    rows = docs.select(_row(docs), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text", F.col("text").isNull()).alias("_hash"))
+    ids = rows.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"), F.count("*").alias("_n")).where("_n > 1")
+    ids = scratch.keep("ids", ids)  # few, if any
+    several = ids.where("_least <> _most").select("_id", "_least")
+    rows = rows.withColumn("_near", F.col("_id"))
     if (n := several.count()) > 0:
-        top = texts.agg(F.max("_id")).first()[0]
-        more = texts.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "_id").where("_hash <> _least").select("_id", "_hash").distinct()
+        top = rows.agg(F.max("_id")).first()[0]
+        more = rows.select("_id", "_hash").join(few(several, n), "_id").where("_hash <> _least").select("_id", "_hash").distinct().orderBy("_id", "_hash")
         more = scratch.keep("more", more.select("_id", "_hash", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("_number")))
-        docs = docs.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_hash")), "left")
-        docs = docs.withColumn("_near", F.coalesce("_number", "_near")).select(*[F.col(f"`{c}`") for c in columns], "_near")
-    found = scratch.keep("found", dedup.near_duplicates(docs, id_col="_near", percent=NEAR_PERCENT).select("_near", "kept"))
-    drop = scratch.keep("drop", found.where("NOT kept").select(F.col("_near").alias("_drop")).distinct())
-    small = drop.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(drop) if small else drop, F.col("_near") == F.col("_drop"), "left_anti")
-    twice = scratch.keep("twice", found.where("kept AND _near IS NOT NULL").groupBy(F.col("_near").alias("_twice")).count().where("count > 1").select("_twice"))
-    if (n := twice.count()) == 0:
-        return out.drop("_near")
-    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-    once = out.join(twice, F.col("_near") == F.col("_twice"), "left_anti")
-    return once.union(out.join(twice, F.col("_near") == F.col("_twice"), "left_semi").dropDuplicates(["_near"])).drop("_near")
+        rows = rows.join(few(more, more.count()), ["_id", "_hash"], "left").withColumn("_near", F.coalesce("_number", "_near"))
+    found = scratch.keep("found", dedup.near_duplicates(rows, id_col="_near", text_col="_text", percent=NEAR_PERCENT).select(F.col("_near").alias("_found"), "kept"))
+    drop = scratch.keep("drop", found.where("NOT kept").select("_found").distinct())
+    out = rows.join(few(drop, drop.count()), F.col("_near") == F.col("_found"), "left_anti")
+    if ids.isEmpty():
+        return out.select("_row.*")
+    twice = scratch.keep("twice", found.where("kept AND _found IS NOT NULL").groupBy("_found").count().where("count > 1").select("_found"))
+    twice = few(twice, twice.count())
+    once = out.join(twice, F.col("_near") == F.col("_found"), "left_anti").select("_row")
+    repeated = out.join(twice, F.col("_near") == F.col("_found"), "left_semi")
+    return once.union(repeated.groupBy("_near").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null and empty texts hold none and stay; very long ones are searched whole; repeated rows are judged alike; null or empty items match
+    nothing, and without items all documents stay.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts become a mark, and n_chars follows the text."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    found = secrets.find_secrets(rows, "_row", "text")
-    text = F.when(F.col("_row.text").isNotNull(), secrets.redacted(F.col("_text"), F.col("spans"))).alias("text")
+    """All documents stay; secrets in their texts become a mark, and n_chars follows the text.
+
+    Null texts stay null; very long ones are scanned whole; repeated rows are treated alike.
+    """
+    rows = docs.select(_row(docs), F.col("text").alias("_text"))
+    found = secrets.find_secrets(rows, "_row", "_text")
+    text = F.when(F.col("_row.text").isNotNull(), secrets.redacted(F.col("_text"), F.col("spans"))).alias("_new")
     out = found.select("_row", text)
-    own = {"text": F.col("text"), "n_chars": F.coalesce(F.when(F.col("text") != F.col("_row.text"), F.length("text").cast("long")), F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    changed = F.length("_new").cast("long")
+    n_chars = F.when(F.col("_new") != F.col("_row.text"), changed).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None
+    own = {"text": F.col("_new"), "n_chars": n_chars}
     return out.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text they decode to."""
+    """doc_id, n_tokens and the digests of the ids and of the text they decode to.
+
+    A null text counts as empty; very long ones are encoded whole; repeated rows give equal rows.
+    """
     return tokenizers_.sentencepiece_round_trip(docs, vocabulary("piece_bpe_32k.model"))
 
 
