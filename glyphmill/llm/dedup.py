@@ -15,10 +15,11 @@ A document's set holds the hashes of its distinct 5-word shingles; its sketch is
    go into new, much shorter lists keyed by (h, element of the rarest part of D).  Each list that is short then (its pairs are at most
    ``PAIRS_A_MEMBER`` times its members) is compared pair by pair, where the places of the shared element in both differences leave
    room for the overlap; step 3 runs on the others, up to ``LEVELS`` times.  No pair is capped away, and no group's pairs are emitted as such.
-5. Components come from alternating large-star and small-star steps on the links, in written tables.
+5. Components come from the links in written tables: each task contracts up to ``EDGES_A_TASK`` links to stars, and where that leaves several
+   tasks' stars, large-star and small-star steps alternate with it.
 
-Hubs, roots and sets that a large share of all rows has are no hot keys: ``spread_join`` deals their partners out and ships the one row they
-are joined with to each part.
+Hubs, roots and sets that a large share of all rows has are no hot keys: a table of counted, small size is broadcast, and beyond that ``spread_join`` deals
+their partners out and ships the one row they are joined with to each part.
 
 What can be lost: a pair at the limit p shares need = share k of the k smallest values of its union unless a binomial
 with k and p falls below that, which has a chance under one in a million (k = 64: 39 for p = 0.85, 34 for 0.80).  Sets of at
@@ -47,8 +48,10 @@ from glyphmill.operators.skew import spread_join
 
 SHINGLE, K, JACCARD_PERCENT = 5, 64, 85
 MISSED = 1e-6
-LEVELS = 12
-PAIRS_A_MEMBER = 40
+LEVELS = 6
+PAIRS_A_MEMBER = 150
+#: Rows of a few longs, and bytes of sets, that are broadcast at most.  Links that one task contracts.
+BROADCAST_ROWS, BROADCAST_BYTES, EDGES_A_TASK = 500_000, 8 << 20, 500_000
 
 
 @dataclass(frozen=True)
@@ -113,10 +116,41 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), _lists(sets)], names=["id", "full"])
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of edges (u, v): the smallest node reachable."""
-    e = scratch.keep("cc", edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches over the edges)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        nodes, roots = smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        some = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some])], names=["u", "v"])
+
+
+def components(edges: DataFrame, scratch: Scratch, edges_a_task: int | None = None) -> DataFrame:
+    """(node, root) for every node of edges (u, v) but the roots: the smallest node reachable."""
+    e, most = scratch.keep("cc", edges.select("u", "v").where("u <> v")), edges_a_task or EDGES_A_TASK
     while True:
+        tasks = max(1, -(-e.count() // most))
+        e = scratch.keep("cc", (e.coalesce(1) if tasks == 1 else e.repartition(tasks)).mapInArrow(_contract, "u bigint, v bigint"))
+        if tasks == 1:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = spread_join(both.where("v > u"), ["u"], "v", least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -150,29 +184,41 @@ def _prefixes(classes: DataFrame, limit: Limit) -> DataFrame:
 def _with_roots(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return lists.withColumn("root", F.col("rep"))
-    return lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    return lists.join(_few(comp).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
-def _split(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _split(lists: DataFrame, comp: DataFrame | None, scratch: Scratch) -> DataFrame:
     """The entries of lists that hold several components, with the list's hub: v, rep, n, score, root, hub, hub_root."""
     rows = _with_roots(lists, comp)
     heads = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", -F.col("rep"), "rep", "root")).alias("h")).where("lo <> hi")
-    return rows.join(heads.select("v", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "v")
+    heads = scratch.keep("heads", heads.select("v", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")))
+    return rows.join(F.broadcast(heads), "v") if heads.count() <= BROADCAST_ROWS else spread_join(rows, ["v"], "rep", heads)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, id_col: str, set_col: str) -> DataFrame:
+    """Written pairs (a, b) with the sets of both as sa and sb."""
+    side = lambda of, x: of.select(F.col(id_col).alias(x), F.col(set_col).alias("s" + x))
+    if pairs.count() <= BROADCAST_ROWS:
+        own = sets
+        for x in "ab":  # twice, for either id makes a set wanted
+            part = sets.join(F.broadcast(pairs.select(F.col(x).alias(id_col))), id_col, "left_semi").select(id_col, set_col)
+            own = part if x == "a" else own.union(part.join(F.broadcast(pairs.select(F.col("a").alias(id_col))), id_col, "left_anti"))
+        size = own.agg(F.coalesce(F.sum(F.size(set_col) * 8 + 32), F.lit(0))).first()[0]
+        if size <= BROADCAST_BYTES:
+            return pairs.join(F.broadcast(side(own, "b")), "b").join(F.broadcast(side(own, "a")), "a")
+    return spread_join(pairs.join(side(sets, "b"), "b"), ["a"], "b", side(sets, "a"), keys_of=pairs)
 
 
 def _links(pairs: DataFrame, classes: DataFrame, full: DataFrame, scratch: Scratch, limit: Limit) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, as (u, v)."""
-    s = classes.select("rep", "sketch")
-    pairs = scratch.keep("pairs", pairs)  # a may be the hub of a long list
-    near = spread_join(pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b"), ["a"], "b", s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), keys_of=pairs)
+    """The distinct pairs (a, b) whose sets are similar enough, as (u, v)."""
+    near = _with_sets(scratch.keep("pairs", pairs), classes, "rep", "sketch")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, limit.k)
     near = near.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("i"))
     near = scratch.keep("near", near.where(F.col("i") >= limit.share * F.col("u") - 1).select("a", "b"))
-    both = spread_join(near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b"), ["a"], "b", full.select(F.col("id").alias("a"), F.col("full").alias("fa")), keys_of=near)
-    inter = F.size(F.array_intersect("fa", "fb"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("fa") + F.size("fb") - inter).alias("u"))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    both = _with_sets(near, full, "id", "full").select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u"))
     links = both.where(F.col("i").cast("long") * 100 >= F.col("u").cast("long") * limit.percent)
-    links = scratch.keep("links", links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    links = scratch.keep("links", links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     scratch.drop("near", "pairs")
     return links
 
@@ -199,7 +245,7 @@ def _sublists(split: DataFrame, full: DataFrame, limit: Limit) -> DataFrame:
     return rows.select("rep", "n", "score", F.xxhash64("hub", "x.e").alias("v"), "linked", (F.col("i") < F.col("h")).alias("short"), "size", (F.col("alone") + F.col("i")).alias("pos"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, broadcast_rows: int = 500_000, percent: int = JACCARD_PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = JACCARD_PERCENT) -> DataFrame:
     """id, n_shingles, component_id, kept: see the module; percent is the least Jaccard similarity.  Ids are integers."""
     limit = Limit(percent, k)
     spark = df.sparkSession
@@ -213,20 +259,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # an id with several texts connects their classes
     known = filled.where("id IS NOT NULL").select("id", "h1", "h2", "n")
     several = scratch.keep("several", known.groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi")).where("lo <> hi").select("id"))
-    if (n := several.count()) > 0:
-        some = known.join(F.broadcast(several) if n <= broadcast_rows else several, "id", "left_semi").distinct()
+    comp = None
+    if several.count() > 0:
+        some = known.join(_few(several), "id", "left_semi").distinct()
         owned = scratch.keep("owned", some.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("id", "rep"))
         twice = spread_join(owned, ["id"], "rep", owned.groupBy("id").agg(F.min("rep").alias("v"))).where("rep <> v")
         links = scratch.keep("twice", twice.select(F.col("rep").alias("u"), "v"))
+        comp = components(links, scratch)
     else:
         links = spark.createDataFrame([], "u bigint, v bigint")
-    comp = components(links, scratch) if n > 0 else None
     lists = scratch.keep("lists", _prefixes(classes, limit))
-    split = scratch.keep("split", _split(lists, comp))
+    split = scratch.keep("split", _split(lists, comp, scratch))
     if not split.isEmpty():
         ids = scratch.keep("ids", split.select(F.col("rep").alias("wanted")).distinct())
-        few = ids.count() <= broadcast_rows
-        wanted = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted"), "left_semi")
+        wanted = docs.join(_few(ids), F.col("id") == F.col("wanted"), "left_semi")
         full = scratch.keep("full", wanted.select("id", "text").mapInArrow(_full, "id bigint, full array<bigint>"))
     for level in range(LEVELS + 1):
         if split.isEmpty():
@@ -238,8 +284,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         long, short = (split, None) if level == 0 else (None, split)
         if 0 < level < LEVELS:
             big = scratch.keep("big", each.where(every > PAIRS_A_MEMBER * F.col("m")).select("v"))
-            if (n := big.count()) > 0:
-                big = F.broadcast(big) if n <= broadcast_rows else big
+            if big.count() > 0:
+                big = _few(big)
                 long, short = split.join(big, "v", "left_semi"), split.join(big, "v", "left_anti")
         found = []
         if long is not None:
@@ -259,14 +305,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             comp = components(links, scratch)
         if long is None:
             break
-        left = scratch.keep("left", _split(long.select("rep", "n", "score", "v", "linked", "short"), comp))
+        left = scratch.keep("left", _split(long.select("rep", "n", "score", "v", "linked", "short"), comp, scratch))
         if left.isEmpty():
             break
-        split = scratch.keep("split", _split(_sublists(left, full, limit), comp))
-    scratch.drop("lists", "split", "left", "ids", "full", "links", "twice", "several", "owned", "big")  # the result reads rows, classes and components
+        lists = scratch.keep("lists", _sublists(left, full, limit))
+        split = scratch.keep("split", _split(lists, comp, scratch))
+    scratch.drop("lists", "split", "left", "ids", "full", "links", "twice", "several", "owned", "big", "heads")  # the result reads rows, classes and components
     sets = classes.select("h1", "h2", "n", "rep")
     if comp is not None:
-        sets = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        sets = sets.join(_few(comp).withColumnRenamed("node", "rep"), "rep", "left")
     else:
         sets = sets.withColumn("root", F.lit(None).cast("long"))
     sets = sets.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from glyphmill.llm import bpe, decontaminate, dedup, html, licenses, queries, tokenizers_, words
+from glyphmill.llm.scratch import Scratch
 
 SPICE = ["a", "b", "the", "in", " ", "  ", "\n", "\t", "é", "中", "😀", "▁", "1", "23", "!", "'s", "<|endoftext|>", "<s>", "<0x41>", "\x00", "\x1c", "\x85", "​", "　", "�", "\xa0", "\r\n"]
 
@@ -82,6 +83,34 @@ def test_bounds_follow_from_the_similarity():
         assert sum(math.comb(limit.k, i) * (p / 100) ** i * (1 - p / 100) ** (limit.k - i) for i in range(m)) < 1e-6
 
 
+def test_near_duplicates_beyond_the_broadcast_limits(spark, monkeypatch):
+    """The paths that large inputs take: no broadcast, and many tasks that contract links."""
+    for name, value in (("BROADCAST_ROWS", 0), ("BROADCAST_BYTES", 0), ("EDGES_A_TASK", 7), ("PAIRS_A_MEMBER", 1)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    rows = []
+    for i in range(50):
+        t = list(base)
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(t)))
+    rows += [(60 + i, rows[0][1]) for i in range(5)] + [(90, " ".join(prose(rng, 40)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(5, 100), (7, 7), (300, 299)] * 2
+    rng.shuffle(edges)
+    want = {i: 5 for i in range(100, 161)} | {i: 200 for i in range(201, 260)} | {300: 299}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (None, 10):
+        got = dedup.components(df, Scratch(spark, "test"), most).collect()
+        assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
 def test_near_duplicates_with_odd_ids(spark):
     text = " ".join(prose(random.Random(1), 80))
     df = spark.createDataFrame([(None, text), (None, None), (5, text), (5, text), (7, text), (5, "other words of the same id")], "doc_id long, text string")
