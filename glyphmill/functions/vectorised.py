@@ -1,10 +1,12 @@
-"""The row-local path: one broadcast numpy model, Arrow batches, and a memo of features per distinct token.
+"""The row-local path: one broadcast numpy model, Arrow batches, and a table of vectors per distinct token.
 
-It serves SQL functions and streams, where no shuffle is wanted, and gives the exact order of equal scores.
+It serves SQL functions and streams, where no shuffle is wanted, and gives the exact order of equal scores.  A batch of texts becomes flat arrays:
+token numbers end to end, segmented sums of token vectors, one matrix product with the output rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from glyphmill.sources.model_file import EOS, LABEL_PREFIX, Model
 #: Fixed: the characters of Unicode White_Space.
 SPLIT = re.compile("[^\t-\r \x85\xa0  -     　]+")
 MEMO_TOKENS = 200_000
+#: Tokens that are summed at once.
+BATCH_TOKENS = 1 << 18
 PREDICTIONS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("probability", T.FloatType())]))
 
 
@@ -78,6 +82,7 @@ class Predictor:
         self.bucket, self.minn, self.maxn, self.ngrams = (int(a[x]) for x in ("bucket", "minn", "maxn", "word_ngrams"))
         self.labels = model.labels
         self.memo: dict[str, tuple[int, list[int], int]] = {}
+        self._forget()
         if model.tree is not None:
             self.children: dict[int, dict[bool, tuple[str, int]]] = {}
             for label, path in ((i, p) for i, p in enumerate(model.tree) if p):
@@ -129,32 +134,117 @@ class Predictor:
                 ids += self._row(h % self.bucket)
         return ids
 
+    def _number(self, token: str) -> int:
+        """The token's place in the tables of numbers of features, their sums, and hashes (-1 for labels)."""
+        kind, ids, h = self._token(token)
+        at = len(self.places)
+        if at == len(self.k):
+            grown = max(1024, 2 * at)
+            self.k, self.hash, self.sums = (np.concatenate([x, np.zeros((grown - at, *x.shape[1:]), x.dtype)]) for x in (self.k, self.hash, self.sums))
+        self.k[at], self.hash[at] = len(ids), -1 if kind else h
+        self.sums[at] = self.m.input.values[ids].astype(np.float64).sum(0) if ids else 0.0
+        self.places[token] = at
+        return at
+
+    def _grams(self, x: np.ndarray, of: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
+        """Adds the word n-grams of all texts: x holds token hashes end to end, of the text of each."""
+        x = x.astype(np.uint64)
+        h, start = x, np.arange(len(x))
+        for j in range(1, self.ngrams):
+            goes_on = start + j < len(x)
+            goes_on[goes_on] = of[start[goes_on]] == of[start[goes_on] + j]
+            start = start[goes_on]
+            h = h[goes_on] * np.uint64(NGRAM_FACTOR) + x[start + j]
+            rows, text = (h % np.uint64(self.bucket)).astype(np.int64), of[start]
+            if self.m.prune_size >= 0:
+                rows = np.array([self.m.prune.get(r, -1) for r in rows.tolist()], np.int64)
+            some = rows >= 0
+            np.add.at(total, text[some], self.m.input.values[self.m.nwords + rows[some]])
+            n += np.bincount(text[some], minlength=len(n))
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(means in single precision, numbers of features) of the texts."""
+        out, counts, group, held = [], [], [], 0
+        for tokens in (SPLIT.findall(t) for t in texts):
+            group.append(tokens)
+            held += len(tokens) + 1
+            if held >= BATCH_TOKENS:
+                self._flush(group, out, counts)
+                group, held = [], 0
+        if group:
+            self._flush(group, out, counts)
+        return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros((0, self.m.dim), np.float32), np.zeros(0, np.int64))
+
+    def _flush(self, group: list[list[str]], out: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        if len(self.places) >= MEMO_TOKENS:
+            self._forget()
+        flat = [t for tokens in group for t in (*tokens, EOS)]
+        for t in set(flat).difference(self.places):
+            self._number(t)
+        at = np.array(list(map(self.places.__getitem__, flat)), np.int64)
+        sizes = np.array([len(t) + 1 for t in group])
+        first = np.cumsum(sizes) - sizes
+        total, n = np.add.reduceat(self.sums[at], first, axis=0), np.add.reduceat(self.k[at], first)
+        if self.ngrams > 1:
+            x, of = self.hash[at], np.repeat(np.arange(len(group)), sizes)
+            self._grams(x[x >= 0], of[x >= 0], total, n)
+        out.append((total / np.maximum(n, 1)[:, None]).astype(np.float32))
+        counts.append(n)
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.k, self.hash, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.m.dim))
+
     def vector(self, text: str) -> np.ndarray:
-        ids = self.line(text)
-        if not ids:
+        vectors, n = self.vectors([text])
+        if not n[0]:
             raise EmptyInputError("no feature")
-        rows, times = np.unique(ids, return_counts=True)
-        total = (self.m.input.values[rows].astype(np.float64) * times[:, None]).sum(0)
-        return (total / len(ids)).astype(np.float32)
+        return vectors[0]
 
     def predict(self, text: str, k: int = 1, threshold: float = 0.0) -> list[tuple[str, float]]:
+        found = self.predict_many([text], k, threshold)[0]
+        if found is None:
+            raise EmptyInputError("no feature")
+        return found
+
+    def predict_many(self, texts: list[str], k: int = 1, threshold: float = 0.0) -> list[list[tuple[str, float]] | None]:
+        """For each text its labels, or null without features."""
         if self.m.args["model_type"] != 3:
             raise InvalidModelError("only a supervised model has labels")
-        h = self.vector(text)
+        h, n = self.vectors(texts)
         k = min(k, len(self.labels))
         if k <= 0:
-            return []
-        heap = BoundedHeap(k)
+            return [[] if x else None for x in n.tolist()]
+        out: list[list[tuple[str, float]] | None] = [None] * len(texts)
+        live = np.flatnonzero(n)
         if self.m.args["loss"] == 1:
-            self._descend(h, threshold, heap)
-        else:
-            z = (self.m.output.values @ h).astype(np.float32)
-            e = np.exp(z - z.max())
-            p = e / e.sum(dtype=np.float32)
+            for i in live.tolist():
+                heap = BoundedHeap(k)
+                self._descend(h[i], threshold, heap)
+                out[i] = self._named(heap.ranked())
+            return out
+        for a in range(0, len(live), step := max(1, (1 << 22) // max(1, len(self.labels)))):
+            rows = live[a : a + step]
+            z = h[rows] @ self.m.output.values.T
+            e = np.exp(z - z.max(1, keepdims=True))
+            p = e / e.sum(1, dtype=np.float32, keepdims=True)
             logs = np.log(p.astype(np.float64) + 1e-5)
-            for label in np.flatnonzero(p >= np.float32(threshold)).tolist():
-                heap.offer(float(logs[label]), label)
-        return [(self.labels[label], float(np.exp(s))) for s, label in heap.ranked()]
+            logs[p < np.float32(threshold)] = -np.inf
+            top = np.argsort(-logs, axis=1, kind="stable")[:, : k + 1]
+            best = np.take_along_axis(logs, top, 1)
+            tied = (best[:, 1:] == best[:, :-1]).any(1)  # only then the order of the heap matters
+            for i, order, scores, ties, all_logs in zip(rows.tolist(), top[:, :k].tolist(), best[:, :k].tolist(), tied.tolist(), logs, strict=True):
+                if ties:
+                    heap = BoundedHeap(k)
+                    for label in np.flatnonzero(all_logs > -np.inf).tolist():
+                        heap.offer(float(all_logs[label]), label)
+                    out[i] = self._named(heap.ranked())
+                else:
+                    out[i] = self._named([(s, label) for s, label in zip(scores, order, strict=True) if s > -np.inf])
+        return out
+
+    def _named(self, ranked: list[tuple[float, int]]) -> list[tuple[str, float]]:
+        return [(self.labels[label], math.exp(s)) for s, label in ranked]
 
     def _descend(self, h: np.ndarray, threshold: float, heap: BoundedHeap) -> None:
         """Depth first, left before right, without branches that cannot enter the heap or lie below the threshold."""
@@ -197,15 +287,27 @@ class Functions:
                     return empty
             return run
 
+        def some(text: pd.Series) -> tuple[list[int], list[str]]:
+            at = [i for i, t in enumerate(text) if t is not None]
+            return at, [text.iloc[i] for i in at]
+
         @F.pandas_udf(PREDICTIONS)
         def predict_labels(text: pd.Series, k: pd.Series, threshold: pd.Series) -> pd.Series:
-            p = predictor()
-            return pd.Series([safe(lambda t, n=n, x=x: [{"label": a, "probability": b} for a, b in p.predict(t, int(n), float(x))], [])(t) for t, n, x in zip(text, k, threshold, strict=True)], dtype=object)
+            out = pd.Series([None] * len(text), dtype=object)
+            for (n, least), places in pd.Series(range(len(text))).groupby([k.to_numpy(), threshold.to_numpy()]).groups.items():  # mostly one pair
+                at, texts = some(text.iloc[places])
+                for i, found in zip(at, predictor().predict_many(texts, int(n), float(least)), strict=True):
+                    out.iat[places[i]] = [{"label": a, "probability": b} for a, b in found or []]
+            return out
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def sentence_vector(text: pd.Series) -> pd.Series:
-            p = predictor()
-            return pd.Series([safe(lambda t: p.vector(t).tolist(), None)(t) for t in text], dtype=object)
+            out = pd.Series([None] * len(text), dtype=object)
+            at, texts = some(text)
+            vectors, n = predictor().vectors(texts)
+            for i, v, features in zip(at, vectors, n.tolist(), strict=True):
+                out.iat[i] = v if features else None
+            return out
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def token_ids(text: pd.Series) -> pd.Series:

@@ -1,17 +1,20 @@
 """Text to feature ids, as relations.
 
-The unit is the distinct token: (doc, token) counts are taken before anything is expanded, so a frequent token or a
-long document costs one row per task and token, and n-grams are hashed once per distinct gram of distinct tokens.
+Tokens meet the vocabulary by a broadcast of known size, or else by a join that deals out hot tokens.  Unknown tokens are counted per document
+first and hashed once per distinct token, in the row.  Word n-grams are hashed in the row of their document: no join at all.
+Rows that repeat an id count as one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import columns as C
+from glyphmill.operators.skew import spread_join
 from glyphmill.sources.frames import BROADCAST_BYTES, ModelFrames
 from glyphmill.sources.model_file import EOS, LABEL_PREFIX
+from glyphmill.sources.shared import Scratch
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,15 +28,21 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return token_rows(df, id_col, text_col).groupBy("doc_id", "token").agg(F.count("*").alias("cnt"))
 
 
-def _vocabulary(m: ModelFrames) -> DataFrame:
+def vocabulary(m: ModelFrames) -> DataFrame:
     """word, id, entry_type: of repeated words the last id counts."""
-    v = m.dictionary.groupBy("word").agg(F.max(F.struct("id", "entry_type")).alias("e")).select("word", "e.id", "e.entry_type")
-    return F.broadcast(v) if 0 < m.dictionary_bytes <= BROADCAST_BYTES else v
+    return m.dictionary.groupBy("word").agg(F.max(F.struct("id", "entry_type")).alias("e")).select("word", "e.id", "e.entry_type")
+
+
+def with_table(tokens: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """tokens (doc_id, token, ...) left joined with a table by word; size in bytes, 0 if unknown."""
+    if 0 < size <= BROADCAST_BYTES:
+        return tokens.join(F.broadcast(table), tokens["token"] == table["word"], "left")
+    return spread_join(tokens, ["token"], "doc_id" if "doc_id" in tokens.columns else "token", table.select(F.col("word").alias("token"), "*"), "left")
 
 
 def lookup(tokens: DataFrame, m: ModelFrames) -> DataFrame:
     """tokens with id (-1 if unknown) and entry_type (0 word, 1 label; unknown ones by their prefix)."""
-    known = tokens.join(_vocabulary(m), tokens["token"] == F.col("word"), "left")
+    known = with_table(tokens, vocabulary(m), m.dictionary_bytes)
     kind = F.coalesce("entry_type", F.when(F.startswith("token", F.lit(LABEL_PREFIX)), 1).otherwise(0))
     return known.select(*tokens.columns, F.coalesce("id", F.lit(-1)).cast("long").alias("id"), kind.cast("int").alias("entry_type"))
 
@@ -50,41 +59,61 @@ def remap(hashes: DataFrame, m: ModelFrames, column: str = "h") -> DataFrame:
 
 
 def subword_ids(tokens: DataFrame, m: ModelFrames) -> DataFrame:
-    """token, row_id, k: the subwords of distinct tokens, k times each.  The end token has none."""
-    grams = tokens.where(F.col("token") != EOS).select("token", F.explode(C.char_ngrams(F.col("token"), m.minn, m.maxn)).alias("gram"))
-    grams = grams.groupBy("token", "gram").agg(F.count("*").alias("k"))
-    hashed = grams.select("gram").distinct().select("gram", (C.fnv1a(F.col("gram")) % m.bucket).alias("h"))
-    return remap(grams.join(hashed, "gram").select("token", "k", "h"), m)
+    """token, row_id: the subwords of distinct tokens, repeated ones repeatedly.  The end token has none."""
+    buckets = C.subword_buckets(F.col("token"), m.minn, m.maxn, m.bucket)
+    return remap(tokens.where(F.col("token") != EOS).select("token", F.explode(buckets).alias("h")), m)
 
 
-def word_features(counts: DataFrame, m: ModelFrames) -> DataFrame:
-    """doc_id, row_id, cnt of whole words and subwords."""
-    distinct = lookup(counts.select("token").distinct(), m).where("entry_type = 0")
-    ids = distinct.where("id >= 0").select("token", F.col("id").alias("row_id"), F.lit(1).cast("long").alias("k"))
-    if m.maxn > 0:
-        ids = ids.union(subword_ids(distinct.select("token"), m).select("token", "row_id", "k"))
-    return counts.join(ids, "token").groupBy("doc_id", "row_id").agg(F.sum(F.col("cnt") * F.col("k")).alias("cnt"))
+def token_ids(tokens: DataFrame, m: ModelFrames) -> DataFrame:
+    """token, row_id of distinct tokens: a word's own row, and its subwords."""
+    distinct = lookup(tokens.select("token"), m).where("entry_type = 0")
+    ids = distinct.where("id >= 0").select("token", F.col("id").alias("row_id"))
+    return ids.union(subword_ids(distinct.select("token"), m).select("token", "row_id")) if m.maxn > 0 else ids
 
 
-def word_ngram_buckets(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h: a row per word n-gram of 2 .. word_ngrams consecutive non-label tokens, end token included."""
-    rows = token_rows(df, id_col, text_col)
-    words = lookup(rows.select("token").distinct(), m).where("entry_type = 0").select("token", C.fnv1a(F.col("token")).alias("x"))
-    line = rows.join(words, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("s"))  # one document
-    line = line.select("doc_id", F.transform("s", lambda e: e["x"]).alias("x"))
+def word_ids(m: ModelFrames) -> DataFrame:
+    """word, row_id of the vocabulary's words: what a model prepares once."""
+    words = vocabulary(m).where("entry_type = 0")
+    ids = words.select("word", F.col("id").alias("row_id"))
+    return ids.union(subword_ids(words.select(F.col("word").alias("token")), m).select(F.col("token").alias("word"), "row_id")) if m.maxn > 0 else ids
+
+
+def is_word(token: Column, m: ModelFrames) -> Column:
+    """Not a label: by prefix, but for the vocabulary's entries whose type and prefix disagree."""
+    plain = ~F.startswith(token, F.lit(LABEL_PREFIX))
+    return plain != token.isin(list(m.odd_words)) if m.odd_words else plain
 
-    def of_size(n: int):
-        places = F.sequence(F.lit(0), F.size("x") - n)
-        some = F.transform(places, lambda i: C.ngram_bucket([F.get("x", i + j) for j in range(n)], m.bucket))
-        return F.when(F.size("x") >= n, some).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    grams = F.flatten(F.array(*[of_size(n) for n in range(2, m.word_ngrams + 1)]))
-    return line.select("doc_id", F.explode(grams).alias("h"))
+def unknown_tokens(rows: DataFrame, m: ModelFrames, size: int, words: DataFrame) -> DataFrame:
+    """doc_id, token, cnt of tokens that are no entry of the vocabulary, no label and not the end token."""
+    odd = with_table(rows, words, size).where(F.col("word").isNull() & (F.col("token") != EOS) & ~F.startswith("token", F.lit(LABEL_PREFIX)))
+    return odd.groupBy("doc_id", "token").agg(F.count("*").alias("cnt"))
+
+
+def word_features(rows: DataFrame, m: ModelFrames) -> DataFrame:
+    """doc_id, row_id, cnt of whole words and subwords of rows (doc_id, token)."""
+    size = m.dictionary_bytes
+    own = vocabulary(m)
+    known = with_table(rows, word_ids(m).groupBy("word").agg(F.collect_list("row_id").alias("ids")), size).where("word IS NOT NULL")  # ids: of one word
+    out = known.select("doc_id", F.explode("ids").alias("row_id")).groupBy("doc_id", "row_id").agg(F.count("*").alias("cnt"))
+    if m.maxn <= 0:
+        return out
+    odd = Scratch(rows.sparkSession, "unknown").keep("tokens", unknown_tokens(rows, m, size, own.select("word")))  # read more than once
+    ids = subword_ids(odd.select("token").distinct(), m).groupBy("token").agg(F.collect_list("row_id").alias("ids"))  # of one token
+    more = spread_join(odd, ["token"], "doc_id", ids).select("doc_id", "cnt", F.explode("ids").alias("row_id"))
+    return out.unionByName(more.select("doc_id", "row_id", "cnt")).groupBy("doc_id", "row_id").agg(F.sum("cnt").alias("cnt"))
+
+
+def word_ngram_buckets(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h: a row per word n-gram of 2 .. word_ngrams consecutive non-label tokens, end token included."""
+    words = F.filter(C.tokens(F.col(text_col)), lambda t: is_word(t, m))
+    hashes = F.transform(words, C.fnv1a)
+    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(C.word_ngram_buckets(hashes, m.word_ngrams, m.bucket)).alias("h"))
 
 
 def features(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_id, cnt: the multiset of input rows of every text."""
-    out = word_features(token_counts(df, id_col, text_col), m)
+    out = word_features(token_rows(df, id_col, text_col).select("doc_id", "token"), m)
     if m.word_ngrams > 1:
         grams = remap(word_ngram_buckets(df, m, id_col, text_col), m).groupBy("doc_id", "row_id").agg(F.count("*").alias("cnt"))
         out = out.union(grams).groupBy("doc_id", "row_id").agg(F.sum("cnt").alias("cnt"))
@@ -93,5 +122,5 @@ def features(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: st
 
 def line_labels(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, label_id, cnt of the known labels written in the texts."""
-    found = lookup(token_counts(df, id_col, text_col), m).where("id >= 0 AND entry_type = 1")
-    return found.select("doc_id", (F.col("id") - m.nwords).alias("label_id"), "cnt")
+    found = lookup(token_rows(df, id_col, text_col).select("doc_id", "token"), m).where("id >= 0 AND entry_type = 1")
+    return found.groupBy("doc_id", (F.col("id") - m.nwords).alias("label_id")).agg(F.count("*").alias("cnt"))

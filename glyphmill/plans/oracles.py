@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glyphmill.plans.models import BUCKET, DIM, VOCABULARY
-from glyphmill.plans.queries import LAST, PARTS, QUANTISED_ROWS, WIDTH
+from glyphmill.plans.models import BUCKET, DIM, Q_PARTS, Q_WIDTH, VOCABULARY
+from glyphmill.plans.queries import LAST, MANY, PARTS, QUANTISED_ROWS, ROUNDS, SENTENCES, WIDTH
 
 WS = r"[\t-\r \x{85}\p{Z}]+"
 
@@ -94,12 +94,33 @@ DECODED = f"""WITH codes AS (SELECT r, i, (r * 11 + i * 3) % 256 AS c, ((((r * 5
 dec AS (SELECT r AS row_id, i * {WIDTH} + j AS d, norm * {CENTROID.format(s=0)} AS value FROM codes, range({WIDTH}) AS w(j) WHERE i < {PARTS - 1} OR j < {LAST})"""
 
 
+#: Numbered labels, scored by the input rows ``feat`` names with weight ``w``.
+def _many(n: int, weight: str, feat: str = "feat") -> str:
+    return f"""many AS (SELECT l AS label_id, '__label__' || l AS label FROM range({n}) AS r(l)),
+    mh AS (SELECT doc_id, d, sum(cnt * {weight}) / sum(cnt) AS v FROM {feat}, dims GROUP BY 1, 2),
+    ms AS (SELECT doc_id, label_id, sum(v * (((13 * label_id + 29 * d) % 33 - 16) / 16.0::DOUBLE)) AS score FROM mh, many GROUP BY doc_id, label_id),
+    mp AS (SELECT doc_id, label_id, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS prob FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM ms)),
+    mr AS (SELECT doc_id, label_id, prob + 1e-5 AS prob, row_number() OVER (PARTITION BY doc_id ORDER BY round(prob, 12) DESC, label_id DESC) AS rank FROM mp)"""
+
+
+PLAIN = "((31 * row_id + 17 * d + (row_id * d) % 7) % 65 - 32) / 64.0::DOUBLE"
+QUANTISED = f"((((row_id * 11 + (d // {Q_WIDTH}) * 3) % 256) * 7 + (d // {Q_WIDTH}) * 5 + (d % {Q_WIDTH}) * 3) % 33 - 16) / 16.0::DOUBLE * (((((row_id * 5) % 256) * 7 + 4) % 33 - 16) / 16.0::DOUBLE)"
+
+
 def oracles() -> dict[str, str]:
     top = lambda k, t=0.0: _with(f"SELECT doc_id, rank, label, prob FROM ranked WHERE rank <= {k}", RANKED.format(t=t))
     sig = "CASE WHEN z < -8 THEN 0.0 WHEN z > 8 THEN 1.0 ELSE 1 / (1 + exp(-z)) END"
     inner = f"nodes AS (SELECT doc_id, inner_row, {sig} AS f FROM (SELECT doc_id, label_id AS inner_row, score AS z FROM score))"
     prune = f"""SELECT 'all' AS mode, {BUCKET}::BIGINT AS n_emitted, (SELECT sum(h + nwords) FROM range({BUCKET}) AS r(h), nw)::BIGINT AS sum_id
       UNION ALL SELECT 'none', 0, 0 UNION ALL SELECT 'some', count(*), sum(h // 2 + nwords)::BIGINT FROM range(0, {BUCKET}, 2) AS r(h), nw"""
+    held = COUNTED.replace("FROM documents WHERE text IS NOT NULL),\ncnt", "FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1),\ncnt")
+    held = held.replace("cnt AS (SELECT doc_id, token, count(*) AS cnt FROM all_pos GROUP BY 1, 2)", f"cnt AS (SELECT doc_id, token, count(*) AS cnt FROM (SELECT doc_id, unnest({_tokens()}) AS token FROM documents WHERE doc_id % 2 = 0) GROUP BY 1, 2)")
+    held = held.replace("WHERE text IS NOT NULL AND lang IS NOT NULL)", "WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)")
+    held += ", judged AS (SELECT doc_id, top.label, '__label__' || lang AS expected FROM top JOIN documents USING (doc_id))"
+    short = "said AS (SELECT i AS doc_id, s AS text FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SENTENCES)) + f""") AS v(i, s)),
+    sfeat AS (SELECT doc_id, id AS row_id, count(*) AS cnt FROM (SELECT doc_id, unnest({_tokens()}) AS token FROM said) JOIN vocab USING (token) GROUP BY 1, 2)"""
+    all_tokens = "vt AS (SELECT token FROM tot WHERE token <> '</s>')"
+    hashed = lambda a, b: f"gr AS {_grams('vt', a, b)}, hh AS (SELECT g, {_fnv('g')} % {BUCKET} AS h FROM (SELECT DISTINCT g FROM gr))"
     judged = COUNTED + ", judged AS (SELECT doc_id, top.label, '__label__' || lang AS expected, prob, lang, n_chars FROM top JOIN documents USING (doc_id))"
     routed = _tokens("text || coalesce(' __label__' || lang, '') || ' __label__x' || doc_id")
     labelled = _tokens("text || coalesce(' __label__' || lang, '')")
@@ -120,11 +141,11 @@ def oracles() -> dict[str, str]:
         "t05_token_routing": f"""WITH {label_cte}, p AS (SELECT doc_id, unnest({routed}) AS token FROM documents)
           SELECT doc_id, count(*) FILTER (NOT starts_with(token, '__label__')) AS n_word, count(label) AS n_label_known, count(*) FILTER (starts_with(token, '__label__') AND label IS NULL) AS n_label_unknown
           FROM p LEFT JOIN labels ON label = token GROUP BY 1""",
-        "t06_char_ngrams": _with(f"SELECT token, count(*) AS n_grams, sum({_fnv('g')} % {BUCKET})::BIGINT AS sum_bucket FROM {_grams('vt', 2, 4)} GROUP BY 1", VOCAB_TOKENS),
-        "t07_markers": _with("SELECT token, " + _fnv("m") + " AS h FROM (SELECT token, '<' || token || '>' AS m FROM vt)", VOCAB_TOKENS),
+        "t06_char_ngrams": _with("SELECT token, count(*) AS n_grams, sum(h)::BIGINT AS sum_bucket FROM gr JOIN hh USING (g) GROUP BY 1", f"{all_tokens}, {hashed(2, 4)}"),
+        "t07_markers": _with("SELECT token, " + _fnv("m") + " AS h FROM (SELECT token, '<' || token || '>' AS m FROM vt)", all_tokens),
         "t08_prune_remap": _with(prune),
         "t09_token_ids": _with(
-            f"SELECT token, count(*) AS n_ids, sum(x)::BIGINT AS sum_ids FROM (SELECT token, id AS x FROM vocab WHERE token <> '</s>' UNION ALL SELECT token, {_fnv('g')} % {BUCKET} + nwords FROM {_grams('vt', 3, 4)}, nw) GROUP BY 1", VOCAB_TOKENS),
+            "SELECT token, count(*) AS n_ids, sum(x)::BIGINT AS sum_ids FROM (SELECT token, id AS x FROM vocab UNION ALL SELECT token, h + nwords FROM gr JOIN hh USING (g), nw) GROUP BY 1", f"{all_tokens}, {hashed(3, 4)}"),
         "t11_word_bigrams": _ngrams(2),
         "t11_word_trigrams": _ngrams(3),
         "t12_features": _with("SELECT doc_id, row_id, cnt FROM feat"),
@@ -147,13 +168,28 @@ def oracles() -> dict[str, str]:
             "SELECT doc_id, label, round(exp(sum(ln(CASE WHEN is_right THEN f ELSE 1 - f END + 1e-5))), 6) AS prob FROM path JOIN nodes USING (inner_row) JOIN labels USING (label_id) GROUP BY doc_id, label", f"{TREE}, {inner}"),
         "s19_huffman": _with("SELECT label, count(*) AS depth FROM path JOIN labels USING (label_id) GROUP BY 1", TREE),
         "r11_predict_top1": COUNTED + top1,
-        "w01_precision": judged + "SELECT count(*) AS n, round(avg((label = expected)::INT), 6) AS precision_at_1 FROM judged",
-        "w02_failures": judged + "SELECT doc_id, expected, label FROM judged WHERE label <> expected",
+        "w01_precision": held + "SELECT count(*) AS n, round(avg((label = expected)::INT), 6) AS precision_at_1 FROM judged",
+        "w02_failures": held + "SELECT doc_id, expected, label FROM judged WHERE label <> expected",
         "w04_agreement": f"WITH a AS ({formula_top1}), b AS ({COUNTED} {top1}) SELECT count(*) AS n, sum((a.label = b.label)::INT)::BIGINT AS agree FROM a JOIN b USING (doc_id)",
         "w05_vector_close": "SELECT vec_id, vec_id % 2 = 0 AS close FROM embeddings",
         "w06_prob_close": _with("SELECT doc_id, label, abs(round(prob, 2) - round(prob, 6)) <= round(prob, 6) * 0.02 AS close FROM prob JOIN labels USING (label_id)"),
         "w07_sorted": "SELECT doc_id, true AS sorted FROM documents WHERE text IS NOT NULL",
-        "w08_topk_sweep": _with("SELECT k, count(*) AS n, round(avg(prob), 5) AS avg_prob FROM ranked, (VALUES (1::BIGINT), (5), (10), (50)) AS ks(k) WHERE rank <= k GROUP BY 1", RANKED.format(t=0.0)),
+        "w08_topk_sweep": _with(f"SELECT k, count(*) AS n, round(avg(prob), 5) AS avg_prob FROM mr, (VALUES (1::BIGINT), (5), (10), (50), ({MANY})) AS ks(k) WHERE rank <= k GROUP BY 1", _many(MANY, PLAIN)),
+        "w03_throughput": _with(f"SELECT text, label, {ROUNDS // len(SENTENCES)}::BIGINT AS n FROM mr JOIN many USING (label_id) JOIN said USING (doc_id) WHERE rank = 1", f"{short}, {_many(MANY, QUANTISED, 'sfeat')}"),
+        "m09_quantised_predict": _with("SELECT doc_id, label, round(prob, 6) AS prob FROM mr JOIN many USING (label_id) WHERE rank = 1", _many(MANY, QUANTISED)),
+        "r06_tie_order": "SELECT * FROM (VALUES (1::BIGINT, '3'), (2, '3,1'), (3, '3,1,2'), (4, '0,1,2,3'), (5, '0,1,2,3')) AS v(k, labels)",
+        "r04_deep_tree": _with(
+            f"""SELECT doc_id, rank, label, round(exp(logp), 6) AS prob FROM (SELECT doc_id, label_id, logp, row_number() OVER (PARTITION BY doc_id ORDER BY round(logp, 10) DESC, label_id DESC) AS rank FROM lp) JOIN many USING (label_id) WHERE rank <= 3""",
+            f"""{_many(40, PLAIN)}, nodes AS (SELECT doc_id, label_id AS node, {sig} AS f FROM (SELECT doc_id, label_id, score AS z FROM ms)),
+            step AS (SELECT label_id, i AS node, i > greatest(38 - label_id, 0) OR label_id = 39 AS other FROM many, range(39) AS r(i) WHERE i >= 38 - label_id),
+            way AS (SELECT label_id, node, CASE WHEN node > 38 - label_id THEN {{left}} ELSE NOT {{left}} END AS goes_left FROM step),
+            lp AS (SELECT doc_id, label_id, sum(ln(CASE WHEN goes_left THEN 1 - f ELSE f END + 1e-5)) AS logp FROM way JOIN nodes USING (node) GROUP BY 1, 2)""".replace("{left}", "true")),
+        "s05_format_roundtrip": _with(
+            f"""SELECT 'args' AS section, 13::BIGINT AS n, ({DIM} + 5 + 1 + 1 + 5 + 1 + 3 + 3 + {BUCKET} + 3 + 3 + 100)::BIGINT AS total
+            UNION ALL SELECT 'dictionary', (SELECT nwords FROM nw) + {MANY}, ((SELECT sum(n) FROM tot JOIN vocab USING (token)) + (SELECT sum(greatest(1, CASE WHEN i > 60 THEN 0 ELSE 1152921504606846976 >> i END)) FROM range({MANY}) AS r(i)))::BIGINT
+            UNION ALL SELECT 'labels', {MANY}, (SELECT sum(length('__label__' || i)) FROM range({MANY}) AS r(i))::BIGINT
+            UNION ALL SELECT 'codes', (SELECT nwords FROM nw) + {BUCKET}, (SELECT sum((r * 11 + i * 3) % 256) FROM nw, range({BUCKET} + nwords) AS a(r), range({Q_PARTS}) AS b(i))::BIGINT
+            UNION ALL SELECT 'output', {MANY}, (SELECT sum((13 * l + 29 * d) % 33 - 16) FROM range({MANY}) AS a(l), dims)::BIGINT"""),
         "w09_by_length": judged + "SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars < 800 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(prob), 5) AS avg_prob FROM judged GROUP BY 1",
         "w10_by_lang": judged + "SELECT lang, count(*) AS n, round(avg(prob), 5) AS avg_prob FROM judged GROUP BY 1",
         "v_predict_udf": formula_top1,

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.sources.model_file import CENTROIDS, Codebook, Matrix, Model
+from glyphmill.sources.model_file import CENTROIDS, LABEL_PREFIX, Codebook, Matrix, Model
 
 #: A model table is broadcast if it is known to be smaller.
 BROADCAST_BYTES = 64 << 20
@@ -35,6 +35,21 @@ class ModelFrames:
     hs_path: DataFrame | None = None
     input_bytes: int = 0
     dictionary_bytes: int = 0
+    supervised: bool = True
+    #: Entries whose type contradicts their prefix: few, if any.
+    odd_words: tuple[str, ...] = ()
+    #: One row with all output rows, label names and tree paths, if small enough to be broadcast.
+    head: DataFrame | None = None
+    #: word, k, vec: number and sum of the input rows of each word, where a model has them ready; and their bytes.
+    words: DataFrame | None = None
+    words_bytes: int = 0
+
+
+def head_frame(spark: SparkSession, outputs: list[list[float]], labels: list[str], tree: list[list[tuple[int, bool]]] | None) -> DataFrame | None:
+    size = sum(4 * len(v) for v in outputs) + sum(len(x) + 8 for x in labels) + sum(16 * len(p) for p in tree or [])
+    if size > BROADCAST_BYTES:
+        return None
+    return spark.createDataFrame([(outputs, labels, tree)], "outputs array<array<float>>, names array<string>, paths array<array<struct<node:int,goes_right:boolean>>>")
 
 
 def _vectors(values: np.ndarray, key: str) -> pa.Table:
@@ -56,7 +71,9 @@ def to_frames(spark: SparkSession, model: Model) -> ModelFrames:
         spark.createDataFrame(_vectors(model.input.values, "row_id")), spark.createDataFrame(_vectors(model.output.values, "label_id")),
         spark.createDataFrame(labels, "label_id bigint, label string, cnt bigint"),
         spark.createDataFrame(paths, "label_id bigint, depth int, inner_row bigint, is_right boolean") if model.tree is not None else None,
-        model.input.values.nbytes, sum(len(w.encode()) + 40 for w in model.words),
+        model.input.values.nbytes, sum(len(w.encode()) + 40 for w in model.words), a["model_type"] == 3,
+        tuple(w for w, k in zip(model.words, kinds, strict=True) if (k == 1) != w.startswith(LABEL_PREFIX)),
+        head_frame(spark, model.output.values.tolist(), model.labels, model.tree),
     )
 
 

@@ -82,7 +82,7 @@ class Bytes:
     """A cursor over the file's bytes with the format's guards."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = memoryview(data), 0
+        self.raw, self.data, self.at = bytes(data), memoryview(data), 0
 
     def take(self, n: int) -> memoryview:
         if self.at + n > len(self.data):
@@ -101,7 +101,7 @@ class Bytes:
         return n
 
     def string(self) -> str:
-        end = bytes(self.data[self.at : self.at + MOST_STRING_BYTES + 1]).find(b"\0")
+        end = self.raw.find(b"\0", self.at, self.at + MOST_STRING_BYTES + 1) - self.at
         if end < 0:
             if len(self.data) - self.at > MOST_STRING_BYTES:
                 raise InvalidModelError("a string of more than 1 MiB")

@@ -6,12 +6,22 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import columns as C
 from glyphmill.operators import scoring as S
-from glyphmill.plans.queries import model_bytes, quantised_matrix
+from glyphmill.plans import models
+from glyphmill.plans.queries import quantised_matrix
 from glyphmill.sources import errors
 from glyphmill.sources.frames import code_frame, codebook_frame
 from glyphmill.sources.model_file import huffman, load, load_spark, parse
 
 
+def model_bytes() -> bytes:
+    """A small dense model file in the format."""
+    words = [("</s>", 9, 0), ("hello", 5, 0), ("world", 4, 0), ("__label__a", 6, 1), ("__label__b", 3, 1)]
+    head = struct.pack("<2i12id", 793712314, 12, 4, 5, 1, 1, 5, 1, 3, 3, 10, 2, 3, 100, 0.5)
+    entries = b"".join(w.encode() + b"\0" + struct.pack("<qB", c, k) for w, c, k in words)
+    dense = lambda m: struct.pack("<B2q", 0, m, 4) + np.array([models.input_weight(r, j) for r in range(m) for j in range(4)], "<f4").tobytes()
+    return head + struct.pack("<3i2q", 5, 3, 2, 27, -1) + entries + dense(13) + dense(2)
+
+
 def quantised_bytes(qnorm: bool, qout: bool, prune: int) -> bytes:
     m = quantised_matrix()
     words = [("</s>", 9, 0), ("hello", 5, 0), ("world", 4, 0), ("__label__a", 6, 1), ("__label__b", 3, 1)]
@@ -83,3 +93,14 @@ def test_huffman():
 def test_close(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.00005, 2.0]), ([1.0], [1.1]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(C.close(F.col("a"), F.col("b"), 1e-4)).collect()] == [True, False, False]
+
+
+def test_load_time_does_not_grow_with_the_file_per_string():
+    import time
+
+    n = 60_000
+    head = struct.pack("<2i12id", 793712314, 12, 4, 5, 1, 1, 5, 1, 3, 3, 10, 0, 0, 100, 0.5)
+    entries = b"".join(f"word{i}".encode() + b"\0" + struct.pack("<qB", 1, 0) for i in range(n)) + b"__label__a\0" + struct.pack("<qB", 1, 1)
+    data = head + struct.pack("<3i2q", n + 1, n, 1, 5, -1) + entries + struct.pack("<B2q", 0, n, 4) + bytes(16 * n) + struct.pack("<B2q", 0, 1, 4) + bytes(16)
+    began = time.time()
+    assert len(parse(data).words) == n + 1 and time.time() - began < 1

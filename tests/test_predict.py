@@ -5,9 +5,9 @@ from glyphmill.functions.vectorised import BoundedHeap, Functions, Predictor
 from glyphmill.operators import features as X
 from glyphmill.operators import scoring as S
 from glyphmill.plans import models
-from glyphmill.sources.errors import EmptyInputError
+from glyphmill.sources.errors import EmptyInputError, InvalidModelError
 from glyphmill.sources.frames import to_frames
-from glyphmill.sources.model_file import Matrix, Model, huffman
+from glyphmill.sources.model_file import Matrix, Model, huffman, parse
 
 TEXTS = ["", "   ", "the cat sat", "le chat noir </s>", "__label__fr le", "__label__zz x", "a" * 300, "中文 字 😀 é", "the the the\nthe\tcat", "der hund und die katze", None]
 
@@ -74,6 +74,43 @@ def test_empty_input(spark):
         S.predict(df, to_frames(spark, model), on_empty="fail").collect()
 
 
+def test_unsupervised_models_have_no_labels(spark):
+    base = models.formula_model(corpus(spark))
+    for kind in (1, 2):
+        base.args["model_type"] = kind
+        df = spark.createDataFrame([(1, "the cat")], "doc_id long, text string")
+        frames = to_frames(spark, base)
+        for call in (lambda: S.predict(df, frames), lambda: S.predict_rows(df, frames), lambda: Predictor(base).predict("the cat")):
+            with pytest.raises(InvalidModelError):
+                call()
+        assert np.allclose(S.sentence_vectors(df, frames).first().vector, Predictor(base).vector("the cat"))
+
+
+def test_large_models_without_a_broadcast_head(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    for options in ({}, {"loss": 1}, {"minn": 2, "maxn": 3, "word_ngrams": 2}):
+        frames = to_frames(spark, models.formula_model(corpus(spark), labels=9, **options))
+        want = {r.doc_id: r for r in S.predict(df, frames, k=4).collect()}
+        frames.head, frames.input_bytes, frames.dictionary_bytes = None, 0, 0
+        got = {r.doc_id: r for r in S.predict(df, frames, k=4).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r.status == want[i].status and [p.label for p in r.predictions or []] == [p.label for p in want[i].predictions or []]
+
+
+def test_files_of_formula_models_and_batches(spark):
+    for options in ({"quantised": True}, {"minn": 2, "maxn": 3, "prune_size": 1, "quantised": True}, {"word_ngrams": 4, "loss": 1}):
+        model = models.formula_model(corpus(spark), labels=20, **options)
+        again = parse(models.file_bytes(model))
+        assert again.words == model.words and again.args == model.args and again.tree == model.tree and again.prune == model.prune and np.array_equal(again.input.values, model.input.values)
+        local = Predictor(again)
+        texts = [t for t in TEXTS if t is not None] * 3
+        for text, many in zip(texts, local.predict_many(texts, 5), strict=True):
+            ids = local.line(text)
+            assert np.allclose(local.vector(text), model.input.values[ids].mean(0), atol=1e-5)
+            assert np.allclose([p for _, p in many], [p for _, p in Predictor(again).predict(text, 5)], rtol=1e-4)
+
+
 def test_one_label_tree(spark):
     base = models.formula_model(corpus(spark).where("lang = 'en'"), loss=1)
     assert len(base.labels) == 1 and base.tree == huffman([3])
