@@ -57,7 +57,6 @@ class Cache:
                 del self.known[w]
         return found
 
-
     def forget(self) -> None:
         self.known = {}
 
@@ -318,10 +317,14 @@ def sentencepiece_ids(df: DataFrame, model: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*shared.value)
-        for batch in batches:
-            parts = [list(enc.encode(t.as_py() or "")) for t in batch.column(1)]
-            ids = pa.array([np.frombuffer(b"".join(p), "<u4").astype(np.int32) for p in parts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([b"".join(enc.decode(iter(p))).decode() for p in parts], pa.string())], names=["_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                parts = [list(enc.encode(t.as_py() or "")) for t in batch.column(1)]
+                ids = pa.array([np.frombuffer(b"".join(p), "<u4").astype(np.int32) for p in parts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([b"".join(enc.decode(iter(p))).decode() for p in parts], pa.string())], names=["_id", "ids", "decoded"])
+        finally:
+            enc.forget()
+            give_back()
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     key = rows.schema["_id"].dataType.simpleString()
