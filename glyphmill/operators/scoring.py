@@ -46,7 +46,7 @@ def word_vectors(m: ModelFrames) -> tuple[DataFrame, int]:
 
 
 def text_vectors(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, hidden for every id: number of features (null for null texts) and their mean (null without features)."""
+    """doc_id, n, sums, hidden for every id: number of features (null for null texts), the sum of their vectors and its mean (null without features)."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.explode_outer(C.tokens(F.col(text_col))).alias("token"))
     table, size = word_vectors(m)
     whole = F.when(F.col("token").isNotNull(), F.coalesce("k", F.lit(0).cast("long")))
@@ -60,8 +60,9 @@ def text_vectors(df: DataFrame, m: ModelFrames, id_col: str = "doc_id", text_col
         grams = X.remap(X.word_ngram_buckets(df, m, id_col, text_col), m).join(_input(m), "row_id")
         parts.append(grams.select("doc_id", F.lit(1).cast("long").alias("k"), F.lit(1).cast("long").alias("cnt"), F.col("vec").cast("array<double>").alias("vec")))
     total = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.sum(F.col("k") * F.col("cnt")).alias("n"), *_sums(m, F.col("cnt"), "vec"))
-    mean = F.array(*[F.coalesce(F.col(f"s{d}"), F.lit(0.0)) / F.col("n") for d in range(m.dim)])
-    return total.select("doc_id", "n", F.when(F.col("n") > 0, mean).alias("hidden"))
+    sums = F.array(*[F.coalesce(F.col(f"s{d}"), F.lit(0.0)) for d in range(m.dim)])
+    rows = total.select("doc_id", "n", F.when(F.col("n") > 0, sums).alias("sums"))
+    return rows.withColumn("hidden", F.transform("sums", lambda x: x / F.col("n")))
 
 
 def hidden(rows: DataFrame, m: ModelFrames) -> DataFrame:
@@ -70,14 +71,15 @@ def hidden(rows: DataFrame, m: ModelFrames) -> DataFrame:
     return total.select("doc_id", F.array(*[F.col(f"s{d}") / F.col("n") for d in range(m.dim)]).alias("hidden"))
 
 
-def _dots(vector: Column, outputs: Column) -> Column:
-    return F.transform(outputs, lambda v: C.dot(vector, v))
+def _score(output: Column) -> Column:
+    """The mean's dot product with an output row, divided last: where the sums are exact, equal scores are then equal as numbers, too."""
+    return C.dot(F.col("sums"), output) / F.col("n")
 
 
 def score_array(vectors: DataFrame, m: ModelFrames) -> DataFrame:
     """vectors with z: the dot products with all output rows, and names and paths of the labels."""
     rows = vectors.crossJoin(F.broadcast(m.head))  # one row, below BROADCAST_BYTES
-    return rows.select(*vectors.columns, _dots(F.col("hidden"), F.col("outputs")).alias("z"), "names", "paths")
+    return rows.select(*vectors.columns, F.transform("outputs", _score).alias("z"), "names", "paths")
 
 
 def softmax_array(z: Column) -> Column:
@@ -114,7 +116,7 @@ def scores(vectors: DataFrame, m: ModelFrames) -> DataFrame:
     """doc_id, label_id, score: every output row against every text."""
     if m.head is not None:
         return score_array(vectors, m).select("doc_id", F.posexplode("z").alias("label_id", "score")).select("doc_id", F.col("label_id").cast("long").alias("label_id"), "score")
-    return vectors.crossJoin(m.output).select("doc_id", "label_id", C.dot(F.col("hidden"), F.col("vec")).alias("score"))
+    return vectors.crossJoin(m.output).select("doc_id", "label_id", _score(F.col("vec")).alias("score"))
 
 
 def softmax(scored: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def softmax(scored: DataFrame) -> DataFrame:
 def hierarchical(vectors: DataFrame, m: ModelFrames) -> DataFrame:
     """doc_id, label_id, logp: the sum of branch logarithms along each label's path; one label alone has logp 0."""
     steps = m.hs_path.join(m.output.withColumnRenamed("label_id", "inner_row"), "inner_row")
-    f = C.sigmoid(C.dot(F.col("hidden"), F.col("vec")))
+    f = C.sigmoid(_score(F.col("vec")))
     branch = C.std_log(F.when(F.col("is_right"), f).otherwise(1 - f))
     found = vectors.crossJoin(steps).groupBy("doc_id", "label_id").agg(F.sum(branch).alias("logp"))
     alone = m.labels.select("label_id").join(m.hs_path.select("label_id").distinct(), "label_id", "left_anti")

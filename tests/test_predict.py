@@ -62,6 +62,26 @@ def test_limits_and_thresholds(spark):
             assert len(got) <= len(model.labels) and [p.probability for p in got] == sorted((p.probability for p in got), reverse=True)
 
 
+def test_equal_scores_rank_by_falling_label_id(spark):
+    model = models.formula_model(corpus(spark))
+    rng = np.random.default_rng(5)
+    inputs, outputs = (model.input.values * 64).astype(np.int64), (model.output.values * 16).astype(np.int64)
+    texts, want = [], []
+    for n in range(2, 12):
+        words = rng.integers(1, model.nwords, (20_000, n))
+        exact = (inputs[words].sum(1) + inputs[0]) @ outputs.T
+        for i in np.flatnonzero((np.diff(np.sort(exact)) == 0).any(1)):
+            texts.append(" ".join(model.words[w] for w in words[i]))
+            want.append([model.labels[k] for k in sorted(range(exact.shape[1]), key=lambda k: (-exact[i, k], -k))])
+    assert len(texts) > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for head in (True, False):
+        frames = to_frames(spark, model)
+        frames.head = frames.head if head else None
+        got = sorted((r.doc_id, r["rank"], r.label) for r in S.predict_rows(df, frames, 9).collect())
+        assert got == [(i, k + 1, label) for i, labels in enumerate(want) for k, label in enumerate(labels)]
+
+
 def test_empty_input(spark):
     base = models.formula_model(corpus(spark))
     model = Model(base.args, ["word", "__label__a"], np.array([1, 1]), np.array([0, 1], np.int8), 1, 1, -1, {}, Matrix(1, 8, base.input.values[:1]), Matrix(1, 8, base.output.values[:1]), None)
