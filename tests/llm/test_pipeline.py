@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -94,3 +95,19 @@ def test_what_a_base_span_leaves_of_a_candidate(spark):
 
 def test_marks():
     assert quality.PRODUCTION.mask & quality.BASE.mask == quality.BASE.mask and secrets.most(3.0) > secrets.most(4.0)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.sentencepiece])
+def test_python_workers_get_small_batches(spark, stage, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches)
+    try:
+        for own, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(key, own)
+            stage(spark, docs, str(tmp_path))
+            assert max(r.id for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "id long").collect()) == most
+    finally:
+        spark.conf.set(key, before)
